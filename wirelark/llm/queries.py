@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.llm import quality, simhash
+from wirelark.llm import bpe, packing, quality, secrets, simhash, tokencount
 from wirelark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +24,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"), tokenizer_files.PATTERN, limit=512)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"), tokenizer_files.PATTERN, capacity=2048, end_id=0)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op5_simhash)}
+    return {f.__name__: f for f in (op1_quality, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
