@@ -8,7 +8,7 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.llm import bpe, packing, quality, secrets, simhash, tokencount
+from wirelark.llm import bpe, packing, quality, secrets, sharding, simhash, tokencount, warc
 from wirelark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"), sharding.HashTree.even(2, 2, 2))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -36,12 +41,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=1000)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op3_sharding, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
