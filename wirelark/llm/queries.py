@@ -8,7 +8,7 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.llm import bpe, packing, quality, secrets, sharding, simhash, tokencount, warc
+from wirelark.llm import ann, bpe, packing, quality, secrets, sharding, simhash, tokencount, warc
 from wirelark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(table(spark, sf_dir, "documents"), sharding.HashTree.even(2, 2, 2))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -50,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_sharding, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_ann, op3_sharding, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
