@@ -8,7 +8,7 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.llm import ann, bpe, packing, quality, secrets, sharding, simhash, tokencount, warc
+from wirelark.llm import ann, bpe, packing, pii, quality, secrets, sharding, simhash, tokencount, warc
 from wirelark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_ann, op3_sharding, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_ann, op3_sharding, op4_pii, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
