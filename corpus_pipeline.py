@@ -1,10 +1,15 @@
-"""Corpus pipeline: stages over documents, each calling one operator of wirelark.llm."""
+"""Corpus pipeline: stages over documents, each calling one operator of wirelark.llm.
+
+Null texts fail the quality rules; empty tables pass through as empty tables. Columns beyond those of
+documents are carried by all stages but the last.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelark.llm import quality
+from wirelark.llm import packing, pii, quality, simhash
 from wirelark.llm.common import materialise, table
 
 
@@ -13,7 +18,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality_stage)]
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
+    return simhash.deduplicated(docs, shingle=5, similarity=0.8)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind."""
+    return pii.redacted(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 2048 tokens; one row per piece."""
+    return packing.pack(docs, tokenizer_files.path("byte_bpe_50k.json"), tokenizer_files.PATTERN, capacity=2048, end_id=0)
+
+
+STAGES = [("quality", quality_stage), ("simhash_dedup", dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]
 
 #: SQL can't express bootstrapped extraction and chained packing; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -34,8 +34,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, link=simhash.Link(2), seeds=(42,))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """SimHash near-duplicates by a vantage-point tree over fingerprints.
 
-A fingerprint has 64 bits; a bit is 1 if it is set in more than half of the XXH64 values (seed 42) of
-the text's word shingles. Distinct fingerprints are dealt to shards by a vantage-point tree grown on a
-bounded sample: each node compares the Hamming distance to its pivot with a threshold, and fingerprints
-within the link radius below the threshold go to both sides. By the triangle inequality any two
-fingerprints that link meet in at least one shard. A shard splits its own fingerprints by further
+A fingerprint has one or more 64-bit words; a bit is 1 if it is set in more than half of the XXH64 values
+(seed 42 for the first word) of the text's word shingles. Distinct fingerprints are dealt to shards by
+a vantage-point tree grown on a bounded sample: each node compares the Hamming distance to its pivot
+with a threshold, and fingerprints within the link radius below the threshold go to both sides. By the
+triangle inequality any two fingerprints that link meet in at least one shard. Where links also need
+texts of like length, the length is a second metric that nodes may take (its vantage point is length
+zero). Shards that stay large are met block by block. A task splits its own fingerprints by further
 pivots in the same way and compares exactly what is left. Shards return spanning forests rather
 than pairs, so output stays linear in dense groups, and components are found by alternating star
 contraction over those forests.
@@ -32,48 +34,89 @@ CHUNK = 1 << 16
 TILE = 512
 
 
-def bit_counts(shingles: list[bytes]) -> np.ndarray:
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), ">u8").astype("<u8")
+def bit_counts(shingles: list[bytes], seed: int) -> np.ndarray:
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(x, seed) for x in shingles]), ">u8").astype("<u8")
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, size: int) -> tuple[int, int]:
-    """(fingerprint as a signed 64-bit integer, number of shingles) of a whole text."""
+def fingerprint(text: str | None, size: int, seeds: tuple[int, ...] = (42,)) -> tuple[int, ...]:
+    """(number of shingles, one word of fingerprint as a signed 64-bit integer for each seed) of a whole text."""
     words = WORD_BYTES.findall((text or "").encode("utf-8", "replace").lower())
     if not words:
-        return 0, 0
+        return 0, *(0 for _ in seeds)
     joined = b" ".join(words)
     edges = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     starts, ends = [0, *(edges[:-1] + 1).tolist()], edges.tolist()
     n = max(1, len(words) - size + 1)
     last = ends[size - 1 :] or [ends[-1]]
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((len(seeds), BITS), np.int64)
     for at in range(0, n, CHUNK):
-        counts += bit_counts([joined[a:b] for a, b in zip(starts[at : min(n, at + CHUNK)], last[at : at + CHUNK])])
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0]), n
+        shingles = [joined[a:b] for a, b in zip(starts[at : min(n, at + CHUNK)], last[at : at + CHUNK])]
+        for i, seed in enumerate(seeds):
+            counts[i] += bit_counts(shingles, seed)
+    return n, *np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def with_fingerprints(docs: DataFrame, shingle: int, name: str = "fp") -> DataFrame:
-    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def with_fingerprints(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """docs with n_shingles and a word column fp0, fp1, ... for each seed."""
+    names = ["n_shingles", *(f"fp{i}" for i in range(len(seeds)))]
+
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series([fingerprint(t, shingle)[0] for t in batch], dtype="int64")
+            yield pd.DataFrame([fingerprint(t, shingle, seeds) for t in batch], columns=names, dtype="int64")
+
+    made = F.pandas_udf(batches, ", ".join(f"{c} long" for c in names))("text")
+    return docs.withColumn("_p", made).select(*(docs[c] for c in docs.columns), "_p.*")
+
+
+@dataclass
+class Points:
+    """Fingerprints (n x words) and, where links need like lengths, logarithms of the numbers of shingles."""
+
+    fps: np.ndarray
+    lengths: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.fps)
+
+    def at(self, k: np.ndarray) -> Points:
+        return Points(self.fps[k], None if self.lengths is None else self.lengths[k])
+
+    def distances(self, pivot: np.ndarray | None) -> np.ndarray:
+        """Hamming distances to a pivot; distances in length from length zero where there is none."""
+        if pivot is None:
+            return self.lengths
+        return np.bitwise_count(self.fps ^ pivot).sum(axis=1, dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class Link:
+    """Fingerprints link at ``bits`` differing bits or fewer and, if ``ratio`` is set, with the shorter at least ratio of the longer."""
+
+    bits: int
+    ratio: float = 0.0
 
-    return docs.withColumn(name, F.pandas_udf(batches, "long")("text"))
+    def radius(self, pivot: np.ndarray | None) -> float:
+        return self.bits if pivot is not None else self.reach
+
+    @property
+    def reach(self) -> float:
+        return -np.log(self.ratio) * (1 + 1e-12)
 
 
 @dataclass
 class VantageTree:
-    """Internal nodes in arrays; children >= 0 are nodes, others leaves ~k."""
+    """Internal nodes in lists; children >= 0 are nodes, others leaves ~k. blocks: of each leaf."""
 
-    pivot: np.ndarray
-    limit: np.ndarray
-    inner: np.ndarray
-    outer: np.ndarray
-    leaves: int
+    pivot: list[np.ndarray | None]
+    limit: list[float]
+    inner: list[int]
+    outer: list[int]
+    blocks: list[int]
 
-    def routes(self, fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, int]]:
-        """(positions, leaf) for every leaf that some of fps belong to."""
-        todo, out = [(np.arange(len(fps)), 0 if len(self.pivot) else ~0)], []
+    def routes(self, points: Points, link: Link) -> list[tuple[np.ndarray, int]]:
+        """(positions, leaf) for every leaf that some of points belong to."""
+        todo, out = [(np.arange(len(points)), 0 if self.pivot else ~0)], []
         while todo:
             at, node = todo.pop()
             if not at.size:
@@ -81,50 +124,52 @@ class VantageTree:
             if node < 0:
                 out.append((at, ~node))
                 continue
-            d = np.bitwise_count(fps[at] ^ self.pivot[node]).astype(np.int64)
-            todo.append((at[d <= self.limit[node]], int(self.inner[node])))
-            todo.append((at[d > self.limit[node] - radius], int(self.outer[node])))
+            d = points.at(at).distances(self.pivot[node])
+            todo.append((at[d <= self.limit[node]], self.inner[node]))
+            todo.append((at[d > self.limit[node] - link.radius(self.pivot[node])], self.outer[node]))
         return out
 
 
-def split(fps: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[np.uint64, int, float] | None:
-    """(pivot, limit, share of the larger side with its copies) of the best of a few candidate splits."""
+def split(points: Points, link: Link, rng: np.random.Generator) -> tuple[np.ndarray | None, float] | None:
+    """(pivot, limit) of the candidate split that leaves least to compare, or None where none saves a fifth."""
     best = None
-    sample = fps if len(fps) <= 4096 else rng.choice(fps, 4096, replace=False)
-    for pivot in rng.choice(fps, min(4, len(fps)), replace=False):
-        seen = np.cumsum(np.bincount(np.bitwise_count(sample ^ pivot), minlength=BITS + 1)) / len(sample)
-        for limit in range(radius, BITS):
-            inside, copied = seen[limit], seen[limit] - seen[limit - radius]
-            larger = max(inside, 1 - inside + copied)
-            cost = larger + 0.5 * copied
-            if best is None or cost < best[3]:
-                best = pivot, limit, larger, cost
-    return best[:3] if best and best[2] < 0.9 else None
-
-
-def grow(sample: np.ndarray, leaves: int, radius: int, seed: int = 7) -> VantageTree:
-    """Split the fullest leaf until there are enough."""
+    sample = points if len(points) <= 4096 else points.at(rng.choice(len(points), 4096, replace=False))
+    pivots = [*points.fps[rng.choice(len(points), min(4, len(points)), replace=False)], *([None] if points.lengths is not None else [])]
+    for pivot in pivots:
+        d = np.sort(sample.distances(pivot))
+        limits = np.unique(np.quantile(d, np.linspace(0.05, 0.95, 37), method="lower"))
+        inside = np.searchsorted(d, limits, side="right") / len(d)
+        outside = 1 - np.searchsorted(d, limits - link.radius(pivot), side="right") / len(d)
+        left = inside**2 + outside**2  # pairs on the two sides, copies included
+        k = int(left.argmin())
+        if best is None or left[k] < best[2]:
+            best = pivot, float(limits[k]), float(left[k])
+    return best[:2] if best and best[2] < 0.8 else None
+
+
+def grow(sample: Points, leaves: int, link: Link, scale: float = 1.0, block: int = 8192, seed: int = 7) -> VantageTree:
+    """Split the fullest leaf until there are enough. scale: points of the whole for each of the sample."""
     rng = np.random.default_rng(seed)
-    pivot, limit, inner, outer = [], [], [], []
-    open_leaves: list[tuple[np.ndarray, int, int]] = [(sample, -1, 0)]  # its sample, parent, side
+    tree = VantageTree([], [], [], [], [])
+    open_leaves: list[tuple[Points, int, int]] = [(sample, -1, 0)]  # its sample, parent, side
     done = []
     while open_leaves and len(open_leaves) + len(done) < leaves:
-        k = max(range(len(open_leaves)), key=lambda i: len(open_leaves[i][0]))
-        own, parent, side = open_leaves.pop(k)
-        cut = split(own, radius, rng) if len(own) >= 16 else None
+        own, parent, side = open_leaves.pop(max(range(len(open_leaves)), key=lambda i: len(open_leaves[i][0])))
+        cut = split(own, link, rng) if len(own) >= 16 else None
         if cut is None:
             done.append((own, parent, side))
             continue
-        node = len(pivot)
-        pivot.append(cut[0]), limit.append(cut[1]), inner.append(0), outer.append(0)
+        node = len(tree.pivot)
+        tree.pivot.append(cut[0]), tree.limit.append(cut[1]), tree.inner.append(0), tree.outer.append(0)
         if parent >= 0:
-            (inner, outer)[side][parent] = node
-        d = np.bitwise_count(own ^ cut[0]).astype(np.int64)
-        open_leaves += [(own[d <= cut[1]], node, 0), (own[d > cut[1] - radius], node, 1)]
-    for k, (_, parent, side) in enumerate(done + open_leaves):
+            (tree.inner, tree.outer)[side][parent] = node
+        d = own.distances(cut[0])
+        open_leaves += [(own.at(d <= cut[1]), node, 0), (own.at(d > cut[1] - link.radius(cut[0])), node, 1)]
+    for k, (own, parent, side) in enumerate(done + open_leaves):
         if parent >= 0:
-            (inner, outer)[side][parent] = ~k
-    return VantageTree(np.array(pivot, np.uint64), np.array(limit, np.int64), np.array(inner, np.int64), np.array(outer, np.int64), len(done) + len(open_leaves))
+            (tree.inner, tree.outer)[side][parent] = ~k
+        tree.blocks.append(max(1, round(len(own) * scale / block)))
+    return tree
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -140,68 +185,77 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
             label = label[label]
 
 
-def local_components(fps: np.ndarray, radius: int, sizes: np.ndarray | None = None, more: np.ndarray | None = None, more_radius: int = 0, seed: int = 11) -> np.ndarray:
-    """Labels of the components of distinct fingerprints under links of at most radius bits.
-
-    Where sizes are given, a link also needs the smaller one to be at least 0.8 of the larger; where
-    more (rows of further fingerprint words) are given, their distances must sum to more_radius at most.
-    """
+def local_components(points: Points, link: Link, sides: np.ndarray | None = None, seed: int = 11) -> np.ndarray:
+    """Labels of the components of distinct fingerprints under links; where sides are given, under links between sides."""
     rng = np.random.default_rng(seed)
-    label, todo = np.arange(len(fps)), [(np.arange(len(fps)), True)]
+    label, todo = np.arange(len(points)), [np.arange(len(points))]
 
     def compare(p: np.ndarray, q: np.ndarray) -> None:
         nonlocal label
-        x, y = np.nonzero(np.bitwise_count(fps[p][:, None] ^ fps[q][None, :]) <= radius)
+        far = np.zeros((len(p), len(q)), np.uint16)
+        for w in range(points.fps.shape[1]):
+            far += np.bitwise_count(points.fps[p, w][:, None] ^ points.fps[q, w][None, :])
+        x, y = np.nonzero(far <= link.bits)
         a, b = p[x], q[y]
-        if sizes is not None:
-            near = np.minimum(sizes[a], sizes[b]) >= 0.8 * np.maximum(sizes[a], sizes[b])
+        if points.lengths is not None:
+            near = np.abs(points.lengths[a] - points.lengths[b]) <= link.reach
             a, b = a[near], b[near]
-        if more is not None:
-            near = np.bitwise_count(more[a] ^ more[b]).sum(axis=1) <= more_radius
-            a, b = a[near], b[near]
-        label = forest(len(fps), a, b, label)
+        label = forest(len(points), a, b, label)
+
+    def tiles(at: np.ndarray) -> list[np.ndarray]:
+        return [at[i : i + TILE] for i in range(0, len(at), TILE)]
 
     while todo:
-        at, may = todo.pop()
-        cut = split(fps[at], radius, rng) if may and len(at) > TILE else None
+        at = todo.pop()
+        cut = split(points.at(at), link, rng) if len(at) > TILE else None
         if cut is not None:
-            d = np.bitwise_count(fps[at] ^ cut[0]).astype(np.int64)
-            todo += [(at[d <= cut[1]], True), (at[d > cut[1] - radius], True)]
+            d = points.at(at).distances(cut[0])
+            todo += [at[d <= cut[1]], at[d > cut[1] - link.radius(cut[0])]]
             continue
-        if sizes is not None:
-            at = at[np.argsort(sizes[at], kind="stable")]
-        tiles = [at[i : i + TILE] for i in range(0, len(at), TILE)]
-        for i, p in enumerate(tiles):
-            for q in tiles[i:]:
-                if sizes is not None and sizes[p[-1]] < 0.8 * sizes[q[0]]:
-                    break
-                compare(p, q)
+        if points.lengths is not None:
+            at = at[np.argsort(points.lengths[at], kind="stable")]
+        ones, others = (tiles(at), tiles(at)) if sides is None else (tiles(at[~sides[at]]), tiles(at[sides[at]]))
+        for i, p in enumerate(ones):
+            for q in others[i if sides is None else 0 :]:
+                if points.lengths is None or points.lengths[q[0]] - points.lengths[p[-1]] <= link.reach and points.lengths[p[0]] - points.lengths[q[-1]] <= link.reach:
+                    compare(p, q)
     return label
 
 
-def shard_links(distinct: DataFrame, radius: int, per_shard: int, sample: int, max_shards: int) -> DataFrame:
-    """Links (u, v), v < u, that span the components of the column fp of distinct."""
+def as_points(f: pd.DataFrame, words: list[str], link: Link) -> Points:
+    fps = np.ascontiguousarray(f[words].to_numpy("int64")).view(np.uint64)
+    return Points(fps, np.log(np.maximum(f.n_shingles.to_numpy("int64"), 1)) if link.ratio else None)
+
+
+def shard_links(distinct: DataFrame, words: list[str], link: Link, per_shard: int, sample: int, max_shards: int) -> DataFrame:
+    """Links (u, v), v < u, of nodes that span the components of distinct (node, n_shingles, words)."""
     spark = distinct.sparkSession
     n = distinct.count()
     leaves = min(max_shards, max(1, n // per_shard))
-    tree = grow(np.zeros(0, np.uint64), 1, radius)
-    if leaves > 1:
-        share = min(1.0, 1.2 * sample / n)
-        rows = distinct.select("fp").where(F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample).toPandas()
-        tree = grow(np.sort(rows.fp.to_numpy("int64").view(np.uint64)), leaves, radius)
+    share = min(1.0, 1.2 * sample / max(n, 1))
+    rows = distinct.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample).toPandas().sort_values("node")
+    tree = grow(as_points(rows, words, link), leaves, link, n / max(len(rows), 1))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at, leaf in tree.routes(f.fp.to_numpy("int64").view(np.uint64), radius):
-                yield pd.DataFrame({"shard": leaf, "fp": f.fp.to_numpy()[at]})
-
-    def link(f: pd.DataFrame) -> pd.DataFrame:
-        fps = np.sort(f.fp.to_numpy("int64").view(np.uint64))
-        label = local_components(fps, radius)
+            points, nodes = as_points(f, words, link), f.node.to_numpy("int64")
+            for at, leaf in tree.routes(points, link):
+                blocks = tree.blocks[leaf]
+                own = (nodes[at].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+                for other in range(blocks):
+                    yield f.iloc[at].assign(shard=leaf, low=np.minimum(own, other), high=np.maximum(own, other), side=own > other)
+
+    def link_up(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node")
+        node = f.node.to_numpy("int64")
+        label = local_components(as_points(f, words, link), link, None if f.low.iat[0] == f.high.iat[0] else f.side.to_numpy(bool))
         far = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"u": fps[far].view(np.int64), "v": fps[label[far]].view(np.int64)})
+        return pd.DataFrame({"u": node[far], "v": node[label[far]]})
 
-    return distinct.select("fp").mapInPandas(route, "shard int, fp long").repartition(max(leaves, spark.sparkContext.defaultParallelism), "shard").groupBy("shard").applyInPandas(link, "u long, v long")
+    kind = ", ".join(f"{c} long" for c in ("node", "n_shingles", *words)) + ", shard int, low int, high int, side boolean"
+    parts = max(sum(b * (b + 1) // 2 for b in tree.blocks), spark.sparkContext.defaultParallelism)
+    key = ["shard", "low", "high"]
+    return distinct.mapInPandas(route, kind).repartition(min(parts, 4 * max_shards), *key).groupBy(key).applyInPandas(link_up, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,16 +280,38 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def fingerprint_components(prints: DataFrame, radius: int = 2, per_shard: int = 4096, sample: int = 50_000, max_shards: int = 4096) -> DataFrame:
-    """fp, component_id for every distinct fingerprint of prints (doc_id, fp). The sample only shapes the tree."""
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = materialise(components(shard_links(distinct, radius, per_shard, sample, max_shards)))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def fingerprint_components(prints: DataFrame, words: list[str], link: Link, per_shard: int = 4096, sample: int = 50_000, max_shards: int = 4096) -> DataFrame:
+    """The words and component_id of every distinct fingerprint of prints (doc_id, n_shingles, words). The sample only shapes the tree."""
+    node = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
+    distinct = materialise(prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles")).withColumn("node", node))
+    roots = materialise(components(shard_links(distinct.select("node", "n_shingles", *words), words, link, per_shard, sample, max_shards)))
+    named = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root").select("fp", "component_id")
+    return named.join(ids, "root").select(*words, "component_id")
+
 
+def near_duplicates(docs: DataFrame, shingle: int = 3, link: Link = Link(2), seeds: tuple[int, ...] = (42,), **how) -> DataFrame:
+    """One row per document: doc_id, its fingerprint's words fp0, ... (signed), component_id (the least doc_id of its component)."""
+    words = [f"fp{i}" for i in range(len(seeds))]
+    prints = materialise(with_fingerprints(docs.select("doc_id", "text"), shingle, seeds).drop("text"))
+    return prints.join(fingerprint_components(prints, words, link, **how), words).select("doc_id", *words, "component_id")
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, **how) -> DataFrame:
-    """One row per document: doc_id, fp (signed), component_id (the least doc_id of its component)."""
-    prints = materialise(with_fingerprints(docs.select("doc_id", "text"), shingle).drop("text"))
-    return prints.join(fingerprint_components(prints, radius, **how), "fp").select("doc_id", "fp", "component_id")
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1, 2, 3), **how) -> DataFrame:
+    """docs with one document of each component kept: that of least doc_id.
+
+    Links need an estimated Jaccard similarity of shingles of at least ``similarity``: the share of
+    differing bits is the angle between texts over pi, which similarity bounds, and the numbers of
+    shingles must be within the same ratio. Rows that share a kept doc_id and component stay as one.
+    Documents without doc_id stay.
+    """
+    bits = int(BITS * len(seeds) * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
+    found = materialise(near_duplicates(docs, shingle, Link(bits, similarity), seeds, **how).select("doc_id", "component_id"))
+    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    # the rows that share a kept doc_id, few as they are, go through a grouping of their own
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("x")).select("x.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
