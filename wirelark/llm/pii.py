@@ -123,12 +123,16 @@ def confident_patterns(found: DataFrame, rounds: int, least_seeds: int, threshol
     return scores.where(F.col("confidence") >= threshold).select("ahead", F.col("for").alias("kind"))
 
 
-def extended(found: DataFrame, rounds: int = 3, least_seeds: int = 5, threshold: float = 0.8, prior: float = 1.0) -> DataFrame:
-    """found (with a row number _row) with more: the spans that confident patterns add, as (start, kind, stop)."""
+def extensions(found: DataFrame, *key: str, rounds: int = 3, least_seeds: int = 5, threshold: float = 0.8, prior: float = 1.0) -> DataFrame:
+    """key and more: the spans that confident patterns add to rows of found, as (start, kind, stop)."""
     patterns = confident_patterns(found, rounds, least_seeds, threshold, prior)
-    hits = found.select("_row", F.explode("cand").alias("x")).select("_row", "x.start", "x.stop", F.col("x.ahead").alias("ahead")).join(patterns, "ahead")
-    more = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("more"))
-    return found.join(more, "_row", "left")
+    hits = found.select(*key, F.explode("cand").alias("x")).select(*key, "x.start", "x.stop", F.col("x.ahead").alias("ahead")).join(patterns, "ahead")
+    # written first, so that its size is known: rows are shuffled only where it is too large to broadcast
+    return materialise(hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "stop"))).alias("more")))
+
+
+def plain(base: str = "base") -> Column:
+    return F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
 
 
 def personal_data(docs: DataFrame, **how) -> DataFrame:
@@ -136,31 +140,36 @@ def personal_data(docs: DataFrame, **how) -> DataFrame:
     found = materialise(scanned(docs, "doc_id").withColumn("_row", F.monotonically_increasing_id()))
     names = F.array(*map(F.lit, KINDS))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["stop"])), ",")
-    plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
-    both = F.when(F.col("more").isNull(), plain).otherwise(F.array_sort(F.concat(plain, "more")))
+    both = F.when(F.col("more").isNull(), plain()).otherwise(F.array_sort(F.concat(plain(), "more")))
 
     def count(i: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
     counts = [count(i) for i in range(len(KINDS))]
-    return extended(found, **how).select("doc_id", *counts, F.sha2(listed(plain), 256).alias("base_sha256"), listed(both).alias("spans"))
+    return found.join(extensions(found, "_row", **how), "_row", "left").select("doc_id", *counts, F.sha2(listed(plain()), 256).alias("base_sha256"), listed(both).alias("spans"))
 
 
 def redacted(docs: DataFrame, **how) -> DataFrame:
-    """docs with every span replaced by its kind in brackets, [EMAIL] and so on; n_chars follows. Texts stay null where null."""
+    """docs with every span replaced by its kind in brackets, [EMAIL] and so on; n_chars follows. Texts stay null where null.
+
+    Texts are scanned twice rather than stored or shuffled: once for the patterns, once to redact. Rows
+    find their added spans by two hashes of id and text; equal rows have equal spans.
+    """
     columns = docs.columns
-    raw = docs.withColumn("_raw", F.col("text"))
-    found = materialise(scanned(raw, *[c for c in columns if c != "text"], "_raw").withColumn("_row", F.monotonically_increasing_id()))
-    spans = F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))), F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
+    keyed = docs.withColumn("_raw", F.col("text")).withColumns({f"_h{i}": F.xxhash64(F.lit(i), "doc_id", "text") for i in (1, 2)})
+    found = materialise(scanned(keyed, "_h1", "_h2").where("size(base) > 0 or size(cand) > 0"))
+    more = extensions(found, "_h1", "_h2", **how)
+    rows = scanned(keyed, *[c for c in columns if c != "text"], "_raw", "_h1", "_h2").join(more, ["_h1", "_h2"], "left")
+    spans = F.array_sort(F.concat(plain(), F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("_raw")
     walked = F.aggregate(
-        spans,
+        "_spans",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["stop"]).alias("at"), a["parts"].alias("parts"))).otherwise(F.struct(x["stop"].alias("at"), F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.get(tags, x["kind"]))).alias("parts"))),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
-    made = extended(found, **how).withColumn("text", F.when(F.size(spans) > 0, walked).otherwise(text))
+    made = rows.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, walked).otherwise(text))
     if "n_chars" in columns:
         made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return made.select(*columns)

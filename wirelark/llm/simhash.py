@@ -147,7 +147,7 @@ def split(points: Points, link: Link, rng: np.random.Generator) -> tuple[np.ndar
     return best[:2] if best and best[2] < 0.8 else None
 
 
-def grow(sample: Points, leaves: int, link: Link, scale: float = 1.0, block: int = 8192, seed: int = 7) -> VantageTree:
+def grow(sample: Points, leaves: int, link: Link, scale: float = 1.0, block: int = 65_536, seed: int = 7) -> VantageTree:
     """Split the fullest leaf until there are enough. scale: points of the whole for each of the sample."""
     rng = np.random.default_rng(seed)
     tree = VantageTree([], [], [], [], [])
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, link: Link = Link(2), see
     return prints.join(fingerprint_components(prints, words, link, **how), words).select("doc_id", *words, "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1, 2, 3), **how) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1, 2, 3), per_shard: int = 16_384, **how) -> DataFrame:
     """docs with one document of each component kept: that of least doc_id.
 
     Links need an estimated Jaccard similarity of shingles of at least ``similarity``: the share of
@@ -306,8 +306,9 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, see
     Documents without doc_id stay.
     """
     bits = int(BITS * len(seeds) * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
-    found = materialise(near_duplicates(docs, shingle, Link(bits, similarity), seeds, **how).select("doc_id", "component_id"))
-    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
+    found = materialise(near_duplicates(docs, shingle, Link(bits, similarity), seeds, per_shard=per_shard, **how).select("doc_id", "component_id"))
+    # written first, so that its size is known: texts are shuffled only where it is too large to broadcast
+    dropped = materialise(found.where("doc_id != component_id").select("doc_id").distinct())
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
