@@ -258,14 +258,30 @@ def shard_links(distinct: DataFrame, words: list[str], link: Link, per_shard: in
     return distinct.mapInPandas(route, kind).repartition(min(parts, 4 * max_shards), *key).groupBy(key).applyInPandas(link_up, "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def few_components(edges: DataFrame) -> DataFrame:
+    """components() of a bounded number of edges, in one task."""
+
+    def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *frames])
+        nodes, at = np.unique(f[["u", "v"]].to_numpy("int64"), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pd.DataFrame({"node": nodes, "root": nodes[forest(len(nodes), at[:, 0], at[:, 1])]})
+
+    return edges.coalesce(1).mapInPandas(contract, "node long, root long")
+
+
+def components(links: DataFrame, few: int = 131_072) -> DataFrame:
     """node, root (the least reachable node) for every node of links (u, v), by star contraction.
 
+    At most ``few`` edges (2 MB) are contracted by one task at once; more go through rounds of joins.
+
     Large-star steps hang each node's larger neighbours on its least one, small-star steps its
     smaller ones; both keep components, and about log(n) rounds leave one star per component.
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     edges, before = materialise(edges), None
+    if edges.count() <= few:
+        return few_components(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
