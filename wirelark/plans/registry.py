@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL, by area."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wirelark.plans import flows, frames, functions, relational
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for area in (functions, frames, flows, relational) for name, (q, _) in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in (functions, frames, flows, relational) for name, (_, sql) in area.QUERIES.items() if sql}
