@@ -142,13 +142,15 @@ def parse_ip4(s: Column) -> Column:
 def ip6_text(b: Column) -> Column:
     """RFC 5952: lower case, no leading zeros, the first longest run of two or more zero groups as ::."""
     groups = [F.regexp_replace(F.lower(F.hex(take(b, 2 * i, 2))), "^0{1,3}(?=.)", "") for i in range(8)]
-    full = F.concat_ws(":", *groups)
-    out = full
-    for run in range(2, 9):  # the last that applies is the longest
-        zeros = rf"^(|.*?:)0(?::0){{{run - 1}}}(:.*|)$"
-        joined = F.concat(F.regexp_replace(F.regexp_extract(full, zeros, 1), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(full, zeros, 2), "^:", ""))
-        out = F.when(full.rlike(zeros), joined).otherwise(out)
-    return F.when(F.length(b) == 16, out)
+
+    def shortened(full: Column) -> Column:
+        out = full
+        for run in range(2, 9):  # the last that applies is the longest
+            zeros = rf"^(|.*?:)0(?::0){{{run - 1}}}(:.*|)$"
+            out = F.when(full.rlike(zeros), F.regexp_replace(full, rf"^(|.*?):?(?<![0-9a-f])0(?::0){{{run - 1}}}(?![0-9a-f]):?(.*)$", "$1::$2")).otherwise(out)
+        return out
+
+    return F.when(F.length(b) == 16, let(F.concat_ws(":", *groups), shortened))
 
 
 def ip_text(b: Column) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from wirelark.functions.bytesx import ip_text, take
 from wirelark.functions.net import flag
 from wirelark.operators.dissect import dissect
-from wirelark.operators.layout import NUMBER
 
 STATES = "LISTEN SYN_SENT SYN_RCVD ESTABLISHED FIN_WAIT_1 FIN_WAIT_2 CLOSE_WAIT CLOSING LAST_ACK TIME_WAIT CLOSED".split()
 KEY = ["addr_a", "port_a", "addr_b", "port_b", "protocol"]
@@ -84,33 +83,19 @@ def packets(df: DataFrame, frame: str = "frame", on_unparsed: str = "skip") -> D
     missing, belong to no flow; frames of under 14 bytes are skipped, or fail the query with on_unparsed="fail".
     """
     d = df if "l4_start" in df.columns else dissect(df, frame=frame)
-    b, l3, l4 = F.col(frame), F.col("l3_start"), F.col("l4_start")
+    b, l4 = F.col(frame), F.col("l4_start")
     if on_unparsed == "fail":
         d = d.where(F.when(F.length(b) >= 14, True).otherwise(F.raise_error(F.lit("packet is not parsed"))))
-    net, number = F.col("layout.net"), F.col("layout.proto")
-    v4 = net == NUMBER["IPv4"]
-    src, dst = F.when(v4, take(b, l3 + 12, 4)).otherwise(take(b, l3 + 8, 16)), F.when(v4, take(b, l3 + 16, 4)).otherwise(take(b, l3 + 24, 16))
-    d = d.where(net.isin(NUMBER["IPv4"], NUMBER["IPv6"]) & (F.col("layout.l4") >= 0) & (~number.isin(6, 17) | l4.isNotNull()))
-    d = d.withColumns({"_src": src, "_dst": dst, "_no": number})
-    name = F.when(F.col("_no") == 6, "TCP").when(F.col("_no") == 17, "UDP").when(F.col("_no") == 1, "ICMP").when(F.col("_no") == 58, "ICMPv6").otherwise("Other")
-    known = lambda c: F.when(F.col(f"layout.{c}") >= 0, F.col(f"layout.{c}"))
-    kind, code, ident = known("icmp_type"), known("icmp_code"), known("icmp_id")
-    echo = kind.isin(0, 8) & (F.col("_no") == 1) | kind.isin(128, 129) & (F.col("_no") == 58)
-    tp = F.col("_no").isin(6, 17)
-    sport = F.when(tp, F.col("layout.sport")).when(echo, ident).otherwise(F.coalesce(kind, F.lit(0)))
-    dport = F.when(tp, F.col("layout.dport")).when(echo, ident).otherwise(F.coalesce(code, F.lit(0)))
-    d = d.withColumns({"_sp": sport.cast("int"), "_dp": dport.cast("int"), "protocol": name})
-    forward = (F.col("_src") < F.col("_dst")) | (F.col("_src") == F.col("_dst")) & (F.col("_sp") <= F.col("_dp"))
-    d = d.withColumn("forward", forward)
-    fwd = F.col("forward")
-    pick = lambda a, c: F.when(fwd, F.col(a)).otherwise(F.col(c))
+    number = F.col("layout.proto")
+    d = d.where((F.col("layout.forward") >= 0) & (~number.isin(6, 17) | l4.isNotNull()))
+    name = F.when(number == 6, "TCP").when(number == 17, "UDP").when(number == 1, "ICMP").when(number == 58, "ICMPv6").otherwise(F.concat(F.lit("Other:"), number))
+    known = lambda c: F.when(F.col(f"layout.{c}") >= 0, F.col(f"layout.{c}")).alias(c)
+    is_tcp = number == 6
     return d.select(
-        pick("_src", "_dst").alias("addr_a"), pick("_sp", "_dp").alias("port_a"), pick("_dst", "_src").alias("addr_b"), pick("_dp", "_sp").alias("port_b"),
         # protocols without a name of their own are told apart by number
-        F.when(F.col("protocol") == "Other", F.concat(F.lit("Other:"), F.col("_no"))).otherwise(F.col("protocol")).alias("protocol"),
-        "forward", "packet_index", "ts_ns", F.length(b).alias("len"), *(F.when(F.col("protocol") == "TCP", F.col(f"layout.{c}")).alias(c) for c in ("flags", "seq", "ack", "window")),
-        F.when(F.col("protocol") == "TCP", F.length(b) - F.col("payload_start")).alias("payload_len"), F.when(F.col("protocol") == "TCP", take(b, F.col("payload_start"), F.length(b))).alias("payload"),
-        kind.alias("icmp_type"), code.alias("icmp_code"), ident.alias("icmp_id"), known("icmp_seq").alias("icmp_seq"),
+        "layout.addr_a", F.col("layout.port_a").cast("int").alias("port_a"), "layout.addr_b", F.col("layout.port_b").cast("int").alias("port_b"), name.alias("protocol"),
+        (F.col("layout.forward") == 1).alias("forward"), "packet_index", "ts_ns", F.length(b).alias("len"), *(F.when(is_tcp, F.col(f"layout.{c}")).alias(c) for c in ("flags", "seq", "ack", "window")),
+        F.when(is_tcp, F.length(b) - F.col("payload_start")).alias("payload_len"), F.when(is_tcp, take(b, F.col("payload_start"), F.length(b))).alias("payload"), *map(known, ("icmp_type", "icmp_code", "icmp_id", "icmp_seq")),
     )
 
 

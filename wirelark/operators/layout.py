@@ -21,8 +21,8 @@ KINDS = ["", "Ethernet", "IPv4", "IPv6", "ARP", "Raw", "TCP", "UDP", "ICMP", "IC
 NUMBER = {k: i for i, k in enumerate(KINDS)}
 ERRORS = ["", "IPv4: too short", "IPv4: header length", "IPv4: header cut", "IPv6: too short", "ARP: too short", "TCP: too short", "UDP: too short", "ICMP: too short"]
 #: Places are -1 where there is none.
-FIELDS = "error net l3 l4 proto tp l5 sport dport seq ack flags window app app_end box cotp_end s7 inner inner_tp inner_end vlan icmp_type icmp_code icmp_id icmp_seq".split()
-SCHEMA = ", ".join(f"{f} long" for f in FIELDS)
+FIELDS = "error net l3 l4 proto tp l5 sport dport seq ack flags window app app_end box cotp_end s7 inner inner_tp inner_end vlan icmp_type icmp_code icmp_id icmp_seq forward port_a port_b".split()
+SCHEMA = ", ".join(f"{f} long" for f in FIELDS) + ", addr_a binary, addr_b binary"
 ICMP_ERRORS = np.array([3, 4, 5, 11, 12])
 DIGITS = re.compile(rb"[0-9]{3}")
 IMAP_TAG = re.compile(rb"([A-Za-z0-9]+) ([^ \n]*)")
@@ -53,6 +53,14 @@ class Frames:
             total = total | (self.data[where + i].astype(np.int64) << (8 * (i if little else n - 1 - i)))
         return np.where(ok, total, -1)
 
+    def slices(self, at: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Byte strings at each frame's own place; NULL where the size is 0."""
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        where = np.repeat(self.starts + at - offsets[:-1], sizes) + np.arange(offsets[-1])
+        made = self.data[where].tobytes()
+        valid = np.packbits(sizes > 0, bitorder="little").tobytes()
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(valid), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(made)])
+
     def bytes(self, row: int, at: int) -> bytes:
         return self.data[self.starts[row] + at : self.starts[row] + self.sizes[row]].tobytes()
 
@@ -228,6 +236,20 @@ def lay_out(f: Frames, root: str, extended: bool) -> dict[str, np.ndarray]:
     out |= {"seq": look(fine & tcp, l4 + 4, 4), "ack": look(fine & tcp, l4 + 8, 4), "flags": pick(word >= 0, word & 0x1FF), "window": look(fine & tcp, l4 + 14, 2), "s7": pick(more, pick(s7, NUMBER["S7Comm"], NUMBER["Raw"]), 0)}
     message = icmp & fine
     out |= {"icmp_type": look(message, l4), "icmp_code": look(message, l4 + 1), "icmp_id": look(message, l4 + 4, 2), "icmp_seq": look(message, l4 + 6, 2)}
+    # the flow key: the lesser address, then the lesser port, comes first
+    echo = v4 & np.isin(out["icmp_type"], (0, 8)) | v6 & np.isin(out["icmp_type"], (128, 129))
+    sp = pick(ported, sport, pick(echo, out["icmp_id"], np.maximum(out["icmp_type"], 0)))
+    dp = pick(ported, dport, pick(echo, out["icmp_id"], np.maximum(out["icmp_code"], 0)))
+    src, dst = pick(inside, pick(v4, l3 + 12, l3 + 8)), pick(inside, pick(v4, l3 + 16, l3 + 24))
+    order = [(look(inside & v4, src, 4), look(inside & v4, dst, 4))] + [(look(inside & v6, src + 8 * i, 8).view(np.uint64), look(inside & v6, dst + 8 * i, 8).view(np.uint64)) for i in (0, 1)]
+    forward, open_ = np.zeros(len(n), bool), inside.copy()
+    for a, b in order:
+        forward |= open_ & (a < b)
+        open_ &= a == b
+    forward |= open_ & (sp <= dp)
+    size = pick(inside, pick(v4, 4, 16), 0)
+    out |= {"forward": pick(inside, forward), "port_a": pick(forward, sp, dp), "port_b": pick(forward, dp, sp)}
+    out["addr_a"], out["addr_b"] = f.slices(pick(forward, src, dst), size), f.slices(pick(forward, dst, src), size)
     return out
 
 
@@ -236,7 +258,7 @@ def layout(frame: Column, root: str = "ethernet", extended: bool = False) -> Col
 
     def batch(frames: pa.Array) -> pa.Array:
         made = lay_out(Frames.of(frames), root, extended)
-        return pa.StructArray.from_arrays([pa.array(made[k], pa.int64()) for k in FIELDS], names=FIELDS)
+        return pa.StructArray.from_arrays([*(pa.array(made[k], pa.int64()) for k in FIELDS), made["addr_a"], made["addr_b"]], names=[*FIELDS, "addr_a", "addr_b"])
 
     batch.__annotations__ = {"frames": pa.Array, "return": pa.Array}
     return F.arrow_udf(batch, SCHEMA)(F.coalesce(frame, F.lit(bytearray())))

@@ -6,6 +6,7 @@ Only flows that reach ESTABLISHED and carry payload are gathered; the rest never
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelark.functions.net import TCP_FLAGS
+from wirelark.operators.flow import KEY, FlowConfig, step
 
 WRAP = 1 << 32
 
@@ -70,41 +72,65 @@ class Stream:
                 self.extend(data[-ahead(seq, self.expected) or 0 :])
 
 
+class Conversation:
+    """The state of one TCP flow and its two streams."""
+
+    def __init__(self, most_segments: int, most_bytes: int):
+        self.state, self.first = "LISTEN", {}
+        self.streams = {d: Stream(most_segments, most_bytes) for d in (True, False)}
+        self.dropped = {True: 0, False: 0}
+
+    def packet(self, forward: bool, flags: int, seq: int, payload: bytes) -> None:
+        syn, ack, fin, rst = (bool(flags >> TCP_FLAGS.index(c) & 1) for c in "SAFR")
+        if self.state == "ESTABLISHED" and not rst and payload and not self.streams[forward].add(seq, payload):
+            self.dropped[forward] += 1
+        if not rst and (self.state == "LISTEN" and syn and not ack or self.state == "SYN_SENT" and syn and ack):
+            self.first[forward] = seq
+        after = step(self.state, syn, ack, fin, rst, forward)
+        if self.state == "SYN_RCVD" and after == "ESTABLISHED":
+            for d, s in self.first.items():
+                if self.streams[d].expected is None:
+                    self.streams[d].expected = (s + 1) % WRAP
+        self.state = after
+
+    def result(self) -> tuple[bytes | None, bytes | None, int, int]:
+        return bytes(self.streams[True].done) or None, bytes(self.streams[False].done) or None, self.dropped[True], self.dropped[False]
+
+
 def reassemble(rows, most_segments: int, most_bytes: int) -> tuple[bytes | None, bytes | None, int, int]:
     """(forward, reverse, dropped forward, dropped reverse) of rows (forward, flags, seq, payload) in capture order."""
-    from wirelark.operators.flow import step
-
-    state, streams, first, dropped = "LISTEN", {d: Stream(most_segments, most_bytes) for d in (True, False)}, {}, {True: 0, False: 0}
+    c = Conversation(most_segments, most_bytes)
     for forward, flags, seq, payload in rows:
-        syn, ack, fin, rst = (bool(flags >> TCP_FLAGS.index(c) & 1) for c in "SAFR")
-        if state == "ESTABLISHED" and not rst and payload and not streams[forward].add(seq, payload):
-            dropped[forward] += 1
-        if not rst and (state == "LISTEN" and syn and not ack or state == "SYN_SENT" and syn and ack):
-            first[forward] = seq
-        after = step(state, syn, ack, fin, rst, forward)
-        if state == "SYN_RCVD" and after == "ESTABLISHED":
-            for d, s in first.items():
-                if streams[d].expected is None:
-                    streams[d].expected = (s + 1) % WRAP
-        state = after
-    return bytes(streams[True].done) or None, bytes(streams[False].done) or None, dropped[True], dropped[False]
-
-
-def tcp_streams(p: DataFrame, config=None) -> DataFrame:
-    """KEY, reassembled_forward, reassembled_reverse and dropped_segments_fwd/rev of flows of packets()."""
-    from wirelark.operators.flow import KEY, FlowConfig
-
-    config = config or FlowConfig()
+        c.packet(bool(forward), int(flags), int(seq), payload)
+    return c.result()
+
+
+def tcp_streams(p: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:
+    """KEY, reassembled_forward, reassembled_reverse and dropped_segments_fwd/rev of flows of packets().
+
+    Packets are sorted by flow and index within partitions and streamed through, so a task holds one
+    flow's state at a time, not the flow's packets.
+    """
     tcp = p.where("protocol = 'TCP'").select(*KEY, "packet_index", "forward", "flags", "seq", "payload", "payload_len")
     opened = (F.col("flags").bitwiseAND(2) != 0) & (F.col("flags").bitwiseAND(16) == 0)
     able = tcp.groupBy(*KEY).agg(F.max("payload_len").alias("m"), F.max(F.when(opened, 1).otherwise(0)).alias("o")).where("m > 0 and o = 1").select(*KEY)
     segments, most = config.max_ooo_fragments, config.max_reassembly_buffer
-
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("packet_index")
-        made = reassemble(zip(f["forward"], f["flags"], f["seq"], f["payload"]), segments, most)
-        return pd.DataFrame([(*(f[c].iat[0] for c in KEY), *made)], columns=[*KEY, "reassembled_forward", "reassembled_reverse", "dropped_segments_fwd", "dropped_segments_rev"])
+    names = [*KEY, "reassembled_forward", "reassembled_reverse", "dropped_segments_fwd", "dropped_segments_rev"]
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, flow = None, None
+        for f in frames:
+            out = []
+            for *key, forward, flags, seq, payload in zip(*(f[c] for c in KEY), f["forward"], f["flags"], f["seq"], f["payload"]):
+                if key != own:
+                    if flow is not None:
+                        out.append((*own, *flow.result()))
+                    own, flow = key, Conversation(segments, most)
+                flow.packet(bool(forward), int(flags), int(seq), payload)
+            yield pd.DataFrame(out, columns=names)
+        if flow is not None:
+            yield pd.DataFrame([(*own, *flow.result())], columns=names)
 
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", reassembled_forward binary, reassembled_reverse binary, dropped_segments_fwd long, dropped_segments_rev long"
-    return tcp.join(able, KEY, "left_semi").groupBy(*KEY).applyInPandas(build, schema)
+    return tcp.join(able, KEY, "left_semi").repartition(*KEY).sortWithinPartitions(*KEY, "packet_index").mapInPandas(build, schema)

@@ -16,7 +16,7 @@ from wirelark.plans.frames import folder
 QUERIES: dict = {}
 
 K = """k AS (SELECT *, src_ip < dst_ip AS fwd, least(src_ip, dst_ip) AS ka, greatest(src_ip, dst_ip) AS kb, CASE WHEN src_ip < dst_ip THEN sport ELSE dport END AS pa,
-  CASE WHEN src_ip < dst_ip THEN dport ELSE sport END AS pb, (flags >> 1) & 1 | ((flags >> 4) & 1) << 1 | (flags & 1) << 2 | ((flags >> 2) & 1) << 3 | CASE WHEN src_ip < dst_ip THEN 16 ELSE 0 END AS sym FROM p)"""
+  CASE WHEN src_ip < dst_ip THEN dport ELSE sport END AS pb, ((flags >> 1) & 1) + 2 * ((flags >> 4) & 1) + 4 * (flags & 1) + 8 * ((flags >> 2) & 1) + CASE WHEN src_ip < dst_ip THEN 16 ELSE 0 END AS sym FROM p)"""
 FSM = """list_reduce(list(sym ORDER BY packet_index), lambda s, x: CASE WHEN (x & 8) <> 0 THEN 10 WHEN s = 0 AND (x & 3) = 1 THEN 1 WHEN s = 1 AND (x & 3) = 3 THEN 2 WHEN s = 2 AND (x & 3) = 2 THEN 3
   WHEN s = 3 AND (x & 4) <> 0 THEN CASE WHEN (x & 16) <> 0 THEN 4 ELSE 6 END WHEN s = 4 AND (x & 6) = 6 THEN 9 WHEN s = 4 AND (x & 2) <> 0 THEN 5 WHEN s = 4 AND (x & 4) <> 0 THEN 7 WHEN s = 5 AND (x & 4) <> 0 THEN 9
   WHEN s = 6 AND (x & 4) <> 0 THEN 8 WHEN s = 7 AND (x & 2) <> 0 THEN 9 WHEN s = 8 AND (x & 2) <> 0 THEN 10 ELSE s END, 0)"""
@@ -80,14 +80,14 @@ def extract_flows_file(spark, sf):
     return c.select("src_addr", "dst_addr", "src_port", "dst_port", "status", "total_packets", F.floor(F.greatest(F.lit(0), F.col("last_ns") - F.col("start_ns")) / 1000).alias("duration_us"))
 
 
-@query(QUERIES, packets_sql(f"SELECT {SRC}, {DST}, pa AS src_port, pb AS dst_port, arg_max(4096 + event_id % 100, packet_index) FILTER (fwd) AS window_fwd FROM k GROUP BY ka, kb, pa, pb HAVING count(*) FILTER (fwd) > 0", K))
+@query(QUERIES, packets_sql(f"SELECT {SRC}, {DST}, pa AS src_port, pb AS dst_port, coalesce(arg_max(4096 + event_id % 100, packet_index) FILTER (fwd), 0) AS window_fwd FROM k GROUP BY ka, kb, pa, pb", K))
 def flow_endpoint_window(spark, sf):
     """Last window of the forward endpoint, from the ordered endpoint fold."""
     p = derived.packets(spark, sf)
     seg = build.tcp(F.lit(bytearray()), F.col("src_ip"), F.col("dst_ip"), F.col("sport"), F.col("dport"), F.col("seq"), F.col("ack"), F.col("flags"), window=F.lit(4096) + F.col("event_id") % 100, with_checksum=False)
     frames = p.select("packet_index", "ts_ns", build.ethernet(build.ipv4(seg, F.col("src_ip"), F.col("dst_ip"), 6)).alias("frame"))
     e = named(flow.endpoints(flow.packets(frames)))
-    return e.where("window_fwd is not null").select("src_addr", "dst_addr", "src_port", "dst_port", "window_fwd")
+    return e.select("src_addr", "dst_addr", "src_port", "dst_port", "window_fwd")
 
 
 @query(QUERIES, packets_sql(f"""SELECT {SRC}, {DST}, user_id % 65536 AS ident, count(*) FILTER (outbound) AS requests, count(*) FILTER (NOT outbound) AS replies, arg_max(event_id % 65536, packet_index) AS last_seq FROM k GROUP BY ka, kb, user_id % 65536""", K))
@@ -128,17 +128,18 @@ def packet_flow_backref(spark, sf):
     return flow.packets_with_flows(p.select("packet_index"), c).agg(F.count("*").alias("joined"), F.countDistinct("packet_index").alias("packets"))
 
 
-@query(QUERIES, "SELECT l_orderkey, string_agg('[' || l_linenumber || ':' || l_partkey || ']', '' ORDER BY l_linenumber) AS stream FROM lineitem GROUP BY l_orderkey")
+@query(QUERIES, "SELECT l_orderkey, string_agg('[' || l_linenumber || ':' || l_partkey || ']', '' ORDER BY l_linenumber, l_partkey) AS stream FROM lineitem GROUP BY l_orderkey")
 def tcp_reassembly(spark, sf):
     """Order lines as TCP segments that arrive backwards after a handshake, put together per stream."""
     from pyspark.sql import Window
 
     from wirelark.operators.reassembly import tcp_streams
 
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.format_string("[%d:%d]", "l_linenumber", "l_partkey").alias("text"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.format_string("[%d:%d]", "l_linenumber", "l_partkey").alias("text"), "l_partkey")
+    li = li.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
+    w = Window.partitionBy("l_orderkey").orderBy("n")
     size = F.length("text")
-    data = li.select("l_orderkey", (F.lit(100) - F.col("l_linenumber")).alias("at"), F.lit(True).alias("forward"), F.lit(24).alias("flags"), (F.lit(1001) + F.sum(size).over(w) - size).alias("seq"), F.col("text").cast("binary").alias("payload"))
+    data = li.select("l_orderkey", (F.lit(100_000) - F.col("n")).alias("at"), F.lit(True).alias("forward"), F.lit(24).alias("flags"), (F.lit(1001) + F.sum(size).over(w) - size).alias("seq"), F.col("text").cast("binary").alias("payload"))
     keys = li.select("l_orderkey").distinct()
     shake = keys.select("l_orderkey", F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(fwd).alias("forward"), F.lit(flags).alias("flags"), F.lit(seq).cast("bigint").alias("seq")) for i, fwd, flags, seq in ((0, True, 2, 1000), (1, False, 18, 5000), (2, True, 16, 1001))))).alias("x")).select("l_orderkey", "x.*", F.lit(bytearray()).alias("payload"))
     rows = data.unionByName(shake).select(take(F.unhex(F.lpad(F.hex("l_orderkey"), 8, "0")), 0, 4).alias("addr_a"), F.lit(1).alias("port_a"), F.lit(bytearray(4)).alias("addr_b"), F.lit(2).alias("port_b"), F.lit("TCP").alias("protocol"), F.col("at").cast("bigint").alias("packet_index"), "forward", F.col("flags").cast("bigint").alias("flags"), "seq", "payload", F.length("payload").alias("payload_len"))
