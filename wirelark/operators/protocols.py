@@ -97,14 +97,13 @@ def cotp(b: Column, _) -> Column:
 
 
 def dhcp(b: Column, _) -> Column:
-    from wirelark.functions.walkers import dhcp_options
+    from wirelark.functions.walkers import dhcp_options, dhcp_servers
 
     o = dhcp_options(rest(b, 240))
     option = lambda n: F.try_element_at(o, F.lit(n))
-    addresses = lambda x: F.when(x.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((F.length(x) / 4).cast("int") - 1, F.lit(0))), lambda i: ip4_text(take(x, i * 4, 4))), ","))
     return struct(
         op=uint(b, 0), htype=uint(b, 1), hlen=uint(b, 2), hops=uint(b, 3), xid=uint(b, 4, 4), secs=uint(b, 8, 2), flags=uint(b, 10, 2), ciaddr=ip4(b, 12), yiaddr=ip4(b, 16), siaddr=ip4(b, 20), giaddr=ip4(b, 24), chaddr=mac(b, 28),
-        msg_type=uint(option(53), 0), server_id=ip4(option(54), 0), requested_ip=ip4(option(50), 0), lease_time=uint(option(51), 0, 4), subnet_mask=ip4(option(1), 0), router=ip4(option(3), 0), dns=addresses(option(6)),
+        msg_type=uint(option(53), 0), server_id=ip4(option(54), 0), requested_ip=ip4(option(50), 0), lease_time=uint(option(51), 0, 4), subnet_mask=ip4(option(1), 0), router=ip4(option(3), 0), dns=dhcp_servers(rest(b, 240)),
     )
 
 
