@@ -156,10 +156,11 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
     find their added spans by two hashes of id and text; equal rows have equal spans.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_raw", F.col("text")).withColumns({f"_h{i}": F.xxhash64(F.lit(i), "doc_id", "text") for i in (1, 2)})
+    whole = docs.select(F.struct(*columns).alias("_doc"), F.col("text"), F.col("doc_id"))  # other columns may have any names
+    keyed = whole.withColumn("_raw", F.col("text")).withColumns({f"_h{i}": F.xxhash64(F.lit(i), "doc_id", "text") for i in (1, 2)})
     found = materialise(scanned(keyed, "_h1", "_h2").where("size(base) > 0 or size(cand) > 0"))
     more = extensions(found, "_h1", "_h2", **how)
-    rows = scanned(keyed, *[c for c in columns if c != "text"], "_raw", "_h1", "_h2").join(more, ["_h1", "_h2"], "left")
+    rows = scanned(keyed, "_doc", "_raw", "_h1", "_h2").join(more, ["_h1", "_h2"], "left")
     spans = F.array_sort(F.concat(plain(), F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("_raw")
@@ -169,7 +170,7 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
         lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["stop"]).alias("at"), a["parts"].alias("parts"))).otherwise(F.struct(x["stop"].alias("at"), F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.get(tags, x["kind"]))).alias("parts"))),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
-    made = rows.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, walked).otherwise(text))
-    if "n_chars" in columns:
-        made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return made.select(*columns)
+    made = rows.withColumn("_spans", spans).withColumn("_text", F.when(F.size("_spans") > 0, walked).otherwise(text))
+    size = F.when(F.col("_text").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in columns else None
+    changed = {"text": F.col("_text"), "n_chars": size}
+    return made.select(*(changed[c].alias(c) if c in changed else F.col("_doc").getField(c).alias(c) for c in columns))

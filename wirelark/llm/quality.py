@@ -165,4 +165,5 @@ def quality_filter(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The kept documents with all their columns; texts are read again rather than shuffled or stored."""
     own = docs.select("doc_id", "lang", "text")
     cutoffs = select_cutoffs(materialise(with_stats(own).drop("text")), labels, **how)
-    return judged(with_stats(docs), cutoffs).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "lang", "text")  # other columns may have any names
+    return judged(with_stats(whole), cutoffs).where("kept").select("_doc.*")
