@@ -111,6 +111,14 @@ def payload(kind: str, frame: str = "frame") -> Column:
     return take(F.col(frame), first["end"], F.length(frame))
 
 
+def split_padding(frame: str = "frame") -> Column:
+    """STRUCT<packet, padding>: what the IPv4 or ARP lengths cover of a frame, and the trailing pad bytes."""
+    n = F.length(frame)
+    end = F.coalesce(F.col("l3_start") + F.col("ipv4.len").cast("int"), F.when(F.col("arp").isNotNull(), F.col("l3_start") + 28), n)
+    end = F.least(F.greatest(end, F.lit(14)), n)
+    return F.struct(take(F.col(frame), 0, end).alias("packet"), take(F.col(frame), end, n - end).alias("padding"))
+
+
 def layer_names() -> Column:
     return F.transform("layers", lambda x: x["kind"])
 

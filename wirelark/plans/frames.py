@@ -247,3 +247,73 @@ def custom_proto_roundtrip(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     b = proto.build(kind=F.col("o_orderkey") % 256, ref=F.col("o_custkey") % 65536, serial=F.col("o_orderkey"), label=F.substring("o_orderpriority", 1, 8).cast("binary"))
     return o.select("o_orderkey", proto.parse(b).alias("x")).select("o_orderkey", "x.kind", "x.ref", "x.serial", F.rtrim(F.regexp_replace(F.col("x.label").cast("string"), "\u0000+$", "")).alias("label"))
+
+
+@query(QUERIES, packets_sql("SELECT event_id, 34 + 8 + pay % 64 AS packet_len, greatest(0, 60 - (42 + pay % 64)) AS pad_len FROM p"))
+def payload_padding(spark, sf):
+    """Frames padded to the Ethernet minimum and split again."""
+    d = dis.dissect(derived.udp_frames(spark, sf).select("event_id", B.ethernet_min_frame(F.col("frame")).alias("frame")))
+    x = dis.split_padding()
+    return d.select("event_id", F.length(x["packet"]).alias("packet_len"), F.length(x["padding"]).alias("pad_len"))
+
+
+@query(QUERIES, "SELECT page_id, host AS sni, 'h2' AS alpn, 771 AS version FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages)")
+def tls_sni(spark, sf):
+    """Client hellos built around page hosts, sent as TLS records and read back."""
+    host = F.regexp_extract("url", "^https?://([^/:]+)", 1)
+    n = F.octet_length(host)
+    sni = F.concat(B.put(0, 2), B.put(n + 5, 2), B.put(n + 3, 2), B.put(0, 1), B.put(n, 2), host.cast("binary"))
+    ext = F.concat(sni, B.raw("001000050003026832"))
+    body = F.concat(B.raw("0303" + "00" * 32 + "00" + "00021301" + "0100"), B.put(F.length(ext), 2), ext)
+    record = build.tls_record(22, F.concat(B.put(1, 1), B.put(F.length(body), 3), body))
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", record.alias("_r")).select("page_id", build.ethernet(build.ipv4(build.tcp(F.col("_r"), 1, 2, 40000, 443, flags=24, with_checksum=False), 1, 2, 6)).alias("frame"))
+    d = dis.dissect(p).where("app = 'TLS'").select("page_id", walkers.tls_client_hello(B.take(F.col("frame"), F.col("payload_start"), F.length("frame"))).alias("h"))
+    return d.select("page_id", "h.sni", F.get("h.alpn", F.lit(0)).alias("alpn"), "h.version")
+
+
+@query(QUERIES, packets_sql("SELECT event_id, 500 + event_id % 1000 AS mss, event_id % 15 AS wscale, true AS sack_permitted, event_id % 4294967296 AS ts_val FROM p"))
+def tcp_options_parse(spark, sf):
+    x = F.col("event_id")
+    opts = F.concat(B.raw("0204"), B.put(500 + x % 1000, 2), B.raw("0303"), B.put(x % 15, 1), B.raw("0402"), B.raw("080A"), B.put(x, 4), B.put(0, 4), B.raw("00"))
+    seg = build.tcp(F.lit(bytearray()), 1, 2, 40000, 80, options=opts, with_checksum=False)
+    d = dis.dissect(derived.events(spark, sf).select("event_id", build.ethernet(build.ipv4(seg, 1, 2, 6)).alias("frame")))
+    return d.select("event_id", walkers.tcp_option_values(B.take(F.col("frame"), F.col("l4_start"), F.length("frame"))).alias("o")).select("event_id", "o.mss", "o.wscale", "o.sack_permitted", "o.ts_val")
+
+
+@query(QUERIES, "SELECT event_id, 1 AS opcode, 'RRQ' AS op_name, 'f' || event_id AS filename, 'octet' AS mode FROM events")
+def tftp_requests(spark, sf):
+    body = build.tftp_request(1, F.concat(F.lit("f"), F.col("event_id")))
+    d = dis.dissect(derived.events(spark, sf).select("event_id", build.ethernet(build.ipv4(build.udp(body, 1, 2, 40000, 69, with_checksum=False), 1, 2, 17)).alias("frame")), ["tftp"])
+    return d.select("event_id", "tftp.opcode", "tftp.op_name", "tftp.filename", "tftp.mode")
+
+
+@query(QUERIES, "SELECT event_id, 12 AS type, event_id % 65536 AS tid, event_type AS data FROM events")
+def mqttsn_publish(spark, sf):
+    body = build.mqttsn(12, F.concat(B.put(0, 1), B.put(F.col("event_id") % 65536, 2), B.put(0, 2), F.col("event_type").cast("binary")))
+    d = dis.dissect(derived.events(spark, sf).select("event_id", build.ethernet(build.ipv4(build.udp(body, 1, 2, 40000, 1883, with_checksum=False), 1, 2, 17)).alias("frame")), ["mqttsn"])
+    return d.select("event_id", "mqttsn.type", "mqttsn.tid", F.col("mqttsn.data").cast("string").alias("data"))
+
+
+@query(QUERIES, "SELECT event_id, 'I' AS type, event_id % 32768 AS tx, 30 AS type_id, 7 AS common_addr, event_id % 1000 AS ioa FROM events")
+def iec104_fields(spark, sf):
+    x = F.col("event_id")
+    asdu = F.concat(B.raw("1E010300"), B.put_le(F.lit(7), 2), B.put_le(x % 1000, 3), B.raw("0100000000000000"))
+    d = dis.dissect(derived.events(spark, sf).select("event_id", build.ethernet(build.ipv4(build.tcp(build.iec104_i((x % 32768).cast("int"), F.lit(0), asdu), 1, 2, 40000, 2404, flags=24, with_checksum=False), 1, 2, 6)).alias("frame")), ["iec104"])
+    return d.select("event_id", "iec104.type", "iec104.tx", "iec104.type_id", "iec104.common_addr", "iec104.ioa")
+
+
+@query(QUERIES, "SELECT event_id, 1 AS frametype, event_id % 256 AS seqnum, 4660 AS dest_panid, event_id % 65536 AS src_short FROM events")
+def dot15d4_fields(spark, sf):
+    """802.15.4 data frames with short addresses, from their own root."""
+    x = F.col("event_id")
+    frame = F.concat(B.put_le(F.lit(0x8841), 2), B.put(x % 256, 1), B.put_le(F.lit(0x1234), 2), B.put_le(F.lit(1), 2), B.put_le(x % 65536, 2), B.raw("0000"))
+    d = dis.dissect(derived.events(spark, sf).select("event_id", frame.alias("frame")), ["dot15d4"], root="dot15d4")
+    return d.select("event_id", F.col("dot15d4.fcf_frametype").alias("frametype"), "dot15d4.seqnum", "dot15d4.dest_panid", F.col("dot15d4.src_addr_short").alias("src_short"))
+
+
+@query(QUERIES, "SELECT event_id, 2 AS type, 8 AS subtype, '02:00:00:00:' || lpad(lower(hex((user_id >> 8) & 255)), 2, '0') || ':' || lpad(lower(hex(user_id & 255)), 2, '0') AS addr2 FROM events")
+def dot11_fields(spark, sf):
+    """802.11 QoS data frames, from their own root."""
+    frame = F.concat(B.raw("88010000" + "FF" * 6), B.raw("02000000"), B.put(F.col("user_id"), 2), B.raw("FF" * 6), B.raw("0000"))
+    d = dis.dissect(derived.events(spark, sf).select("event_id", frame.alias("frame")), ["dot11"], root="dot11")
+    return d.select("event_id", "dot11.type", "dot11.subtype", "dot11.addr2")
