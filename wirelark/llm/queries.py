@@ -62,5 +62,13 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_quality, op2_ann, op3_sharding, op4_pii, op5_simhash, op6_tokencount, op7_packing, op8_secrets, op9_warc, op10_bpe)}
 
 
+#: The other operators hash, tokenise or learn in ways that DuckDB can't express; tests hold them against brute force.
+OP9_SQL = """
+SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (SELECT page_id, body, CASE WHEN octet_length(encode(body)) >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY body) THEN max(page_id) OVER (PARTITION BY body) END AS refers_to
+  FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
