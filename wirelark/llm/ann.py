@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from wirelark.llm.common import materialise
 
-#: Rows of a block of a list's vectors, and of its queries.
-VECTORS, QUERIES = 4096, 1024
+#: Rows of a block of vectors, and of its queries. Small lists share a block, so that a query's finds are merged before they leave it.
+VECTORS, QUERIES = 16_384, 1024
 
 
 @dataclass
@@ -190,19 +190,27 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, list_size: i
     floats = F.col("embedding").cast("array<float>").alias("embedding")
     placed = materialise(rows.select("vec_id", floats).mapInPandas(to_lists, kind))
     probes = materialise(asked.select("vec_id", floats).mapInPandas(to_probes, kind))
-    # one row per list, at most max_lists
-    loads = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).join(probes.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m")), "list").select("list", F.ceil(F.col("n") / VECTORS).cast("int").alias("nv"), F.ceil(F.col("m") / QUERIES).cast("int").alias("nq"))
-    loads = F.broadcast(materialise(loads))
+    # one row per list, at most max_lists: lists in order fill groups of VECTORS vectors; larger ones are cut
+    loads = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).join(probes.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m")), "list").toPandas().sort_values("list")
+    loads["grp"] = (loads.n.cumsum() - 1) // VECTORS
+    per_group = loads.groupby("grp").agg(n=("n", "sum"), m=("m", "max"))
+    loads["nv"] = loads.grp.map(-(-per_group.n // (2 * VECTORS)))
+    loads["nq"] = loads.grp.map(-(-per_group.m // QUERIES))
+    dims = [F.broadcast(spark.createDataFrame(loads[["list", "grp", "nv", "nq"]].astype("int64"), "list int, grp int, nv int, nq int")) for _ in range(2)]
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    vs = placed.select("vec_id", "embedding", F.explode("lists").alias("list")).join(loads, "list").withColumn("bv", spread("vec_id", "nv")).withColumn("bq", every("nq")).drop("nv", "nq")
-    qs = probes.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("lists").alias("list")).join(loads, "list").withColumn("bq", spread("query_id", "nq")).withColumn("bv", every("nv")).drop("nv", "nq")
-    block = ["list", "bv", "bq"]
+    vs = placed.select("vec_id", "embedding", F.explode("lists").alias("list")).join(dims[0], "list").withColumn("bv", spread("vec_id", "nv")).withColumn("bq", every("nq")).drop("nv", "nq")
+    qs = probes.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("lists").alias("list")).join(dims[1], "list").withColumn("bq", spread("query_id", "nq")).withColumn("bv", every("nv")).drop("nv", "nq")
+    block = ["grp", "bv", "bq"]
 
     def meet(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(f) or not len(g):
+        """The k best of a block for each of its queries, over the lists that each query takes."""
+        vectors = dict(list(g.groupby("list")))
+        made = [top_pairs(x, vectors[name], k) for name, x in f.groupby("list") if name in vectors]
+        if not made:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return top_pairs(f, g, k)
+        both = pd.concat(made).drop_duplicates().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return both.groupby("query_id").head(k)
 
     found = qs.groupBy(block).cogroup(vs.groupBy(block)).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
