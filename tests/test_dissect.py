@@ -120,3 +120,16 @@ def test_fragments(spark, drop, complete):
 def test_fragment_df(spark):
     p = spark.range(1).select(build.ipv4(lit(bytes(200)), A, Z, 17, flags=2).alias("packet"))
     assert fragment.fragments(p, 76).first().error == "DF is set"
+
+
+def test_fragment_query_returns_every_text(spark, tmp_path):
+    import duckdb
+
+    from wirelark.plans import frames
+
+    sizes = [0, 1, 552, 553, 556, 557, 65_136, 65_137, 65_515, 65_516, 65_136 + 553, 133_719]
+    texts = [(i, ("é" * (n // 2) + "x")[: n - n // 2]) for i, n in enumerate(sizes)] + [(50, None), (51, "twice"), (51, "twice"), (51, "other"), (None, "no id"), (2**40, "far")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run, sql = frames.QUERIES["ipv4_fragment_reassemble"]
+    want = duckdb.sql(sql.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(str, map(tuple, run(spark, str(tmp_path)).collect()))) == sorted(map(str, want)) and len(want) == len(texts)

@@ -135,15 +135,29 @@ for _name, (_text, _sql) in FILTERS.items():
 
 @query(QUERIES, "SELECT doc_id, n AS fragments, n = 1 OR true AS complete, true AS same FROM (SELECT doc_id, CASE WHEN octet_length(encode(text)) + 20 <= 576 THEN 1 ELSE (octet_length(encode(text)) + 551) // 552 END AS n FROM documents)")
 def ipv4_fragment_reassemble(spark, sf):
-    """Texts as IPv4 payloads, cut to an MTU of 576 and put together again."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("t")).where("octet_length(t) < 65000")
-    key = F.col("doc_id")
-    ip = lambda n: build.ipv4(F.col("t"), F.lit(167772160) + F.floor(key / 65536), F.lit(167837696), 253, ident=key % 65536)
-    p = docs.select("doc_id", ip(0).alias("packet"))
+    """Texts as IPv4 payloads, cut to an MTU of 576 and put together again.
+
+    A text too long for one packet goes in several of like size, cut where fragments are: the addresses are
+    the halves of the row's number, ident is the part's. A null text is carried as an empty one and, as in
+    the SQL, has no number of fragments.
+    """
+    where = folder(spark)  # written, so that a row keeps its number
+    spark.read.parquet(f"{sf}/documents.parquet").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("t")).write.parquet(where)
+    docs = spark.read.parquet(where)
+    key, step, most = F.col("row"), 552, 118  # bytes of a fragment, fragments of a packet
+    sent = docs.select("row", F.coalesce("t", F.lit(bytearray())).alias("t")).withColumn("n", F.greatest(F.ceil(F.length("t") / step), F.lit(1))).withColumn("parts", F.ceil(F.col("n") / most))
+    cut = lambda k: (step * F.floor(k * F.col("n") / F.col("parts"))).cast("int")
+    parts = sent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    body = B.take(F.col("t"), cut(F.col("part")), cut(F.col("part") + 1) - cut(F.col("part")))
+    p = parts.select("row", "part", build.ipv4(body, F.shiftrightunsigned(key, 32), key.bitwiseAND(0xFFFFFFFF), 253, ident=F.col("part")).alias("packet"))
     f = frag.fragments(p, 576)
-    counts = f.groupBy("doc_id").agg(F.count("*").alias("fragments"))
-    back = frag.reassemble(f).select("complete", F.col("packet").alias("back"), (B.uint(F.col("src"), 2, 2) * 65536 + F.col("ident")).alias("doc_id"))
-    return p.join(counts, "doc_id").join(back, "doc_id").select("doc_id", "fragments", "complete", (F.col("back") == F.col("packet")).alias("same"))
+    counts = f.groupBy("row").agg(F.count("*").alias("fragments"))
+    back = frag.reassemble(f.select("fragment")).select((F.shiftleft(B.uint(F.col("src"), 0, 4), 32).bitwiseOR(B.uint(F.col("dst"), 0, 4))).alias("row"), "ident", "complete", B.take(F.col("packet"), 20, 65_535).alias("body"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("ident", "body"))), F.lit(bytearray()), lambda a, x: F.concat(a, x["body"]))
+    whole = back.groupBy("row").agg(F.every("complete").alias("complete"), joined.alias("back"))
+    got = docs.join(counts, "row", "left").join(whole, "row", "left")
+    same = F.coalesce(F.col("back") == F.coalesce("t", F.lit(bytearray())), F.lit(False))
+    return got.select("doc_id", F.when(F.col("t").isNotNull(), F.col("fragments")).alias("fragments"), F.coalesce("complete", F.lit(False)).alias("complete"), same.alias("same"))
 
 
 @query(QUERIES, "SELECT l_orderkey, count(*) AS gaps FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber + 1, 1, 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS due FROM lineitem WHERE l_linenumber % 3 <> 0) WHERE l_linenumber <> due GROUP BY l_orderkey")
