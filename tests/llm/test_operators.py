@@ -72,6 +72,19 @@ def test_quality_guarantee(spark):
     assert sum(bad) == 0 and sum(good) >= 0.98 * len(good)
 
 
+def test_quality_by_stratum(spark):
+    """320 good labels certify cutoffs of their own; 100 don't, and another language's cutoffs don't apply there."""
+    random.seed(12)
+    text = lambda mark: " ".join(f"{mark}w{random.randrange(10**6)}" for _ in range(40))
+    made = [("en", 1, 1600), ("en", 0, 300), ("fr", 1, 320), ("fr", 0, 100), ("de", 1, 100), ("de", 0, 30), (None, 0, 30)]
+    rows = [(lang, good, text("" if good and lang != "de" else "##")) for lang, good, n in made for _ in range(n)]
+    d = spark.createDataFrame([(i, t, lang, "s", 1) for i, (lang, _, t) in enumerate(rows)], DOCS)
+    out = {r.doc_id: r.kept for r in quality.quality_verdicts(d, labels(spark, [(i, good, 0) for i, (_, good, _) in enumerate(rows)])).collect()}
+    share = lambda lang, good: np.mean([out[i] for i, (a, b, _) in enumerate(rows) if (a, b) == (lang, good)])
+    assert share("en", 0) == share("fr", 0) == 0 and share("en", 1) >= 0.98 and share("fr", 1) >= 0.98
+    assert share("de", 1) == share("de", 0) == share(None, 0) == 1
+
+
 def test_binomial_tail():
     assert abs(quality.binomial_tail(2, 10, 0.3) - sum(math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(3))) < 1e-12
     g = np.zeros(256, int)

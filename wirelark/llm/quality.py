@@ -2,16 +2,17 @@
 
 Each rule is a number per document, put on a fixed grid; a document fails a rule when its grid
 value exceeds the cutoff of its stratum (its language). Cutoffs come from labelled holdouts.
-Cutoffs are tried from the most lenient to stricter ones, and a cutoff is certified while the exact
-binomial tail says that its false-rejection rate on good documents is at most ``risk`` per rule; the
-first failure ends the sequence, so the sequence needs no correction of its own. The confidence is
-shared out over all (stratum, rule) pairs by Bonferroni. Among certified cutoffs the one that gains
-most on labelled bad documents is used; a rule that gains nothing, or that the holdout is too small
-to certify, rejects nothing.
+Each stratum has one sequence over all rules: a path from cutoffs that reject nothing to stricter ones,
+one rule and grid step at a time. A part of the stratum's good holdouts and its bad ones propose the
+path; the other good ones certify it, step by step, while the exact binomial tail says that all rules
+together reject at most ``risk`` of good documents. The first failure ends the sequence, so it needs no
+correction of its own, and no part of the risk is set aside for a rule. The confidence is shared out over
+the strata by Bonferroni. Of the certified steps the one that gains most on labelled bad documents is used.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language is a
-stratum of its own; strata with few holdouts use the cutoffs of all languages pooled; an empty or
-absent label table certifies nothing, so only the base rule rejects. Repeated rows are judged alike,
+stratum of its own. A stratum whose good holdouts are too few for the exact bound (217 where four strata
+share a confidence of 0.95 and the risk is 0.02), or that has no bad ones, rejects nothing by these rules:
+others' cutoffs aren't certified for it. So only the base rule rejects there, as with an empty label table. Repeated rows are judged alike,
 each on its own. Columns other than the named ones are ignored.
 """
 
@@ -98,13 +99,13 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float, price: float) -> int:
-    """The most useful certified cutoff on the grid; LEVELS - 1 (rejects nothing) where none is."""
+    """The most useful certified cutoff of a grid with the given counts; the last level (rejects nothing) where none is."""
     n_good, n_bad = int(good.sum()), int(bad.sum())
-    best, gain = LEVELS - 1, 0.0
+    best, gain = len(good) - 1, 0.0
     if not n_good or not n_bad or (1 - risk) ** n_good > level:
         return best
     wrong, right = 0, 0
-    for cut in range(LEVELS - 2, -1, -1):
+    for cut in range(len(good) - 2, -1, -1):
         wrong, right = wrong + int(good[cut + 1]), right + int(bad[cut + 1])
         if wrong > risk * n_good or binomial_tail(wrong, n_good, risk) > level:
             break
@@ -113,40 +114,107 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: floa
     return best
 
 
-def select_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95, price: float = 3.0, min_holdout: int = 300, max_strata: int = 1000) -> dict[str, dict[str, int]]:
-    """Cutoffs by stratum and rule; "*" holds those of all languages pooled.
+def least_holdout(sizes: dict[int, int], risk: float, miss: float) -> tuple[int, float]:
+    """(fewest good holdouts of a stratum that can certify, its level), where the strata that can share miss. sizes: strata by number of good holdouts."""
+    best, strata = (0, 0.0), 0
+    for n in sorted(sizes, reverse=True):
+        strata += sizes[n]
+        if (1 - risk) ** n <= miss / strata:
+            best = n, miss / strata
+    return best
+
+
+def proposed_path(good: np.ndarray, bad: np.ndarray, price: float) -> list[tuple[int, int]]:
+    """(rule, cutoff) of each step, by what rules reject of the proposing holdouts (counts by rule and level).
 
-    stats: doc_id, lang and the rule columns. risk: allowed rate of false rejections, shared equally
-    by the rules. At most max_strata strata (the best-labelled ones) with min_holdout good holdouts
-    get cutoffs of their own, which bounds what is brought to the driver; the rest use the pooled ones.
+    The next run of steps is the one that rejects most bad documents for each good one; it stops where none is worth its price.
     """
+    n_good, n_bad = max(int(good[0].sum()), 1), int(bad[0].sum())
+    at, path = [LEVELS - 1] * len(good), []
+    while n_bad:
+        best = None
+        for rule, cut in enumerate(at):
+            right, wrong = np.cumsum(bad[rule, cut:0:-1]), np.cumsum(good[rule, cut:0:-1])
+            worth = np.where(right / n_bad > price * wrong / n_good, right / (wrong + 1), 0)
+            if worth.size and worth.max() > 0 and (best is None or worth.max() > best[0]):
+                best = float(worth.max()), rule, cut - 1 - int(worth.argmax())
+        if best is None:
+            return path
+        _, rule, to = best
+        # levels that hold no bad document are no steps of their own
+        path += [(rule, cut) for cut in range(at[rule] - 1, to - 1, -1) if bad[rule, cut + 1]]
+        at[rule] = to
+    return path
+
+
+def as_counts(f: pd.DataFrame) -> np.ndarray:
+    """Counts by rule and level of (rule, level, count)."""
+    out = np.zeros((len(RULES), LEVELS), np.int64)
+    np.add.at(out, (f.rule.to_numpy(), f.level.to_numpy()), f["count"].to_numpy())
+    return out
+
+
+def select_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95, price: float = 3.0) -> DataFrame:
+    """stratum and c_<rule>: the cutoffs of the strata that certify some; others reject nothing.
+
+    stats: doc_id, lang and the rule columns. risk: allowed rate of false rejections by all rules together.
+    All strata with as many good holdouts as the exact bound needs take part. A quarter of a stratum's
+    good holdouts (drawn by a hash of doc_id), or what can be spared, proposes its path.
+    """
+    spark = stats.sparkSession
+    cutoffs = "stratum string, " + ", ".join(f"c_{r} int" for r in RULES)
     holdout = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = stats.select("doc_id", "lang", *(f"r_{r}" for r in RULES)).join(holdout, "doc_id").withColumn("stratum", F.coalesce("lang", F.lit("")))
-    sizes = held.where("quality = 1").groupBy("stratum").count().where(F.col("count") >= min_holdout)
-    strata = [r.stratum for r in sizes.orderBy(F.desc("count"), "stratum").limit(max_strata).collect()]
-    cells = held.select(F.when(F.col("stratum").isin(strata), F.col("stratum")).alias("stratum") if strata else F.lit(None).cast("string").alias("stratum"), "quality", F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(f"r_{r}").alias("level")) for i, r in enumerate(RULES)))).alias("x")).groupBy("stratum", "quality", "x.rule", "x.level").count()
-    counts = {s: np.zeros((2, len(RULES), LEVELS), np.int64) for s in [*strata, None]}
-    for r in cells.collect():
-        counts[r.stratum][r.quality, r.rule, r.level] += r["count"]
-    pooled = sum(counts.values())
-    level = (1 - confidence) / ((len(strata) + 1) * len(RULES))
-    table = {"*": pooled} | {s: counts[s] for s in strata}
-    return {s: {r: certified_cutoff(c[1, i], c[0, i], risk / len(RULES), level, price) for i, r in enumerate(RULES)} for s, c in table.items()}
+    held = materialise(stats.select("doc_id", "lang", *(f"r_{r}" for r in RULES)).join(holdout, "doc_id").withColumn("stratum", F.coalesce("lang", F.lit(""))))
+    # rows of a doc_id that occurs more than once are one holdout: they aren't independent
+    held = held.groupBy("stratum", "doc_id").agg(F.min("quality").alias("quality"), *(F.max(f"r_{r}").alias(f"r_{r}") for r in RULES))
+    own = held.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count_if(F.col("quality") == 0).alias("bad")).where("n > 0 and bad > 0")
+    needed = lambda p: math.ceil(math.log(p) / math.log1p(-risk))
+    # with so many holdouts any number of strata could certify, so more are counted alike and few numbers come to the driver
+    sizes = {r.n: r["count"] for r in own.groupBy(F.least("n", F.lit(needed(1e-15))).alias("n")).count().collect()}
+    least, level = least_holdout(sizes, risk, 1 - confidence)
+    if not least:
+        return F.broadcast(spark.createDataFrame([], cutoffs))
+    spare = F.when(F.col("n") >= needed(level) + 60, F.least(F.lit(0.25), 1 - 1.05 * needed(level) / F.col("n"))).otherwise(0.0)
+    part = held.join(own.where(F.col("n") >= least).select("stratum", spare.alias("share")), "stratum")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    part = materialise(part.withColumn("part", F.when(F.col("quality") == 0, 0).when(drawn, 1).otherwise(2)))  # bad, proposing, certifying
+    levels = F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(f"r_{r}").alias("level")) for i, r in enumerate(RULES))))
+    cells = part.where("part < 2").select("stratum", "part", levels.alias("x")).groupBy("stratum", "part", "x.rule", "x.level").count()
+
+    def propose(f: pd.DataFrame) -> pd.DataFrame:
+        path = proposed_path(as_counts(f[f.part == 1]), as_counts(f[f.part == 0]), price)
+        first = np.full((len(RULES), LEVELS), len(path) + 1)  # the step from which a rule rejects a level
+        for step, (rule, cut) in reversed(list(enumerate(path, 1))):
+            first[rule, cut + 1 :] = step
+        return pd.DataFrame({"stratum": [f.stratum.iat[0]], "rules": [[r for r, _ in path]], "cuts": [[c for _, c in path]], "first": [first.ravel().tolist()]})
+
+    paths = materialise(cells.groupBy("stratum").applyInPandas(propose, "stratum string, rules array<int>, cuts array<int>, first array<int>"))
+    step = F.least(*(F.get("first", F.col(f"r_{r}") + i * LEVELS) for i, r in enumerate(RULES)))
+    steps = part.where("part != 1").join(paths.select("stratum", "first"), "stratum").groupBy("stratum", "part", step.alias("step")).count()
+
+    def certify(f: pd.DataFrame) -> pd.DataFrame:
+        rules, cuts = f.rules.iat[0], f.cuts.iat[0]
+        counts = np.zeros((2, len(rules) + 1), np.int64)  # by quality and steps from the end; those that no step rejects come first
+        np.add.at(counts, (np.where(f.part == 2, 1, 0), len(rules) + 1 - f.step.to_numpy()), f["count"].to_numpy())
+        taken = len(rules) - certified_cutoff(counts[1], counts[0], risk, level, price)
+        at = [LEVELS - 1] * len(RULES)
+        for rule, cut in zip(rules[:taken], cuts[:taken]):
+            at[rule] = cut
+        return pd.DataFrame([(f.stratum.iat[0], *at)], columns=["stratum", *(f"c_{r}" for r in RULES)])
+
+    return materialise(steps.join(paths.select("stratum", "rules", "cuts"), "stratum").groupBy("stratum").applyInPandas(certify, cutoffs))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judged(stats: DataFrame, cutoffs: dict[str, dict[str, int]]) -> DataFrame:
-    """Add base_failed and kept. The cutoff table has at most select_cutoffs' max_strata rows, so it is broadcast."""
-    spark = stats.sparkSession
-    own = [(s, *(c[r] for r in RULES)) for s, c in cutoffs.items() if s != "*"]
-    cuts = spark.createDataFrame(own, "stratum string, " + ", ".join(f"c_{r} int" for r in RULES))
+def judged(stats: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add base_failed and kept. cuts has a row for each stratum with cutoffs of its own."""
     passed = F.lit(True)
     for r in RULES:
-        passed &= F.col(f"r_{r}") <= F.coalesce(F.col(f"c_{r}"), F.lit(cutoffs["*"][r]))
-    joined = stats.join(F.broadcast(cuts), F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
+        passed &= F.col(f"r_{r}") <= F.coalesce(F.col(f"c_{r}"), F.lit(LEVELS - 1))
+    joined = stats.join(cuts, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passed).drop("stratum", *(f"c_{r}" for r in RULES))
 
 
