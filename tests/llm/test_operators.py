@@ -124,6 +124,20 @@ def test_nearest(spark, n, dup):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_of_repeated_rows(spark, same):
+    """A near vec_id of many rows, equal or not, takes one place of the twenty."""
+    rng = np.random.default_rng(3)
+    v = np.abs(rng.normal(size=(200, 8)))
+    v[1] = 9.0
+    rows = [(i, [float(x) for x in v[i]], 0) for i in range(200)] * 2 + [(1, [9.0 - (0.0 if same else 0.001 * j)] * 8, 0) for j in range(60)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = ann.nearest(e, e.where("vec_id % 50 = 0"), k=20).collect()
+    for q in range(0, 200, 50):
+        s = v.astype(np.float32).astype(float) @ v[q].astype(np.float32).astype(float)
+        assert [r.vec_id for r in sorted(got) if r.query_id == q] == sorted((i for i in range(200) if i != q), key=lambda i: -s[i])[:20]
+
+
 def test_nearest_of_nothing(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert ann.nearest(e, e).count() == 0

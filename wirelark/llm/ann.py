@@ -123,19 +123,25 @@ def fit(vectors: DataFrame, lists: int, sample_rows: int, dim: int) -> tuple[Cen
 
 
 def top_pairs(f: pd.DataFrame, g: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of block g of vectors for each query of block f, ties by vec_id."""
+    """The k best vec_ids of block g of vectors for each query of block f, each by its best score, ties by vec_id."""
+    g = g.sort_values("vec_id", kind="stable")
     q, v = stacked(f.embedding).astype(np.float64), stacked(g.embedding).astype(np.float64)
     ids, asked = g.vec_id.to_numpy(), f.query_id.to_numpy()
     rough = q @ v.T
     rough[asked[:, None] == ids[None, :]] = -np.inf
-    n = min(k, len(ids))
-    edge = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n] if len(ids) > n else np.full(len(q), -np.inf)
+    # a vec_id with several vectors takes one place: the edge is sought among the best of each
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    alone = len(first) == len(ids)
+    each = rough if alone else np.maximum.reduceat(rough, first, axis=1)
+    n = min(k, len(first))
+    edge = np.partition(each, len(first) - n, axis=1)[:, len(first) - n] if len(first) > n else np.full(len(q), -np.inf)
     out = []
     for i in range(len(q)):
         # near misses of the rough products are scored too: each score is summed in one fixed order
         at = np.flatnonzero((rough[i] >= edge[i] - 1e-9 * (1 + abs(edge[i]))) & (rough[i] > -np.inf)) if np.isfinite(edge[i]) else np.flatnonzero(rough[i] > -np.inf)
         scores = (v[at] * q[i]).cumsum(axis=1)[:, -1]
-        order = np.lexsort((ids[at], -scores))[:n]
+        order = np.lexsort((ids[at], -scores))
+        order = (order if alone else order[np.sort(np.unique(ids[at][order], return_index=True)[1])])[:n]
         out.append((np.full(len(order), asked[i]), ids[at][order], scores[order]))
     a, b, c = (np.concatenate(x) for x in zip(*out))
     return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
@@ -188,7 +194,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, list_size: i
 
     kind = "vec_id long, embedding array<float>, lists array<int>"
     floats = F.col("embedding").cast("array<float>").alias("embedding")
-    placed = materialise(rows.select("vec_id", floats).mapInPandas(to_lists, kind))
+    placed = materialise(rows.select("vec_id", floats).distinct().mapInPandas(to_lists, kind))  # copies of a row are one candidate
     probes = materialise(asked.select("vec_id", floats).mapInPandas(to_probes, kind))
     # one row per list, at most max_lists: lists in order fill groups of VECTORS vectors; larger ones are cut
     loads = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).join(probes.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m")), "list").toPandas().sort_values("list")
@@ -199,7 +205,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, list_size: i
     dims = [F.broadcast(spark.createDataFrame(loads[["list", "grp", "nv", "nq"]].astype("int64"), "list int, grp int, nv int, nq int")) for _ in range(2)]
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    vs = placed.select("vec_id", "embedding", F.explode("lists").alias("list")).join(dims[0], "list").withColumn("bv", spread("vec_id", "nv")).withColumn("bq", every("nq")).drop("nv", "nq")
+    vs = placed.select("vec_id", "embedding", F.explode("lists").alias("list")).join(dims[0], "list").withColumn("bv", F.pmod(F.xxhash64("vec_id", "embedding"), "nv").cast("int")).withColumn("bq", every("nq")).drop("nv", "nq")
     qs = probes.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("lists").alias("list")).join(dims[1], "list").withColumn("bq", spread("query_id", "nq")).withColumn("bv", every("nv")).drop("nv", "nq")
     block = ["grp", "bv", "bq"]
 
@@ -209,7 +215,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, list_size: i
         made = [top_pairs(x, vectors[name], k) for name, x in f.groupby("list") if name in vectors]
         if not made:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        both = pd.concat(made).drop_duplicates().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        both = pd.concat(made).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
         return both.groupby("query_id").head(k)
 
     found = qs.groupBy(block).cogroup(vs.groupBy(block)).applyInPandas(meet, "query_id long, vec_id long, score double")
