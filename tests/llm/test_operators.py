@@ -270,6 +270,15 @@ def test_dedup_keeps_one_of_each_group(spark, odd):
     assert simhash.deduplicated(odd).columns == odd.columns
 
 
+def test_dedup_of_a_doc_id_with_several_texts(spark):
+    random.seed(13)
+    a, b, c = (" ".join(f"w{random.randrange(10**6)}" for _ in range(300)) for _ in range(3))
+    # 5 is the least of a's group but not of b's; 1 is the least of b's and of c's
+    rows = [(5, a), (6, a), (1, b), (5, b), (1, c), (1, c), (7, c)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert sorted((r.doc_id, r.text) for r in simhash.deduplicated(d).collect()) == sorted([(5, a), (1, b), (1, c)])
+
+
 def awkward_texts():
     random.seed(7)
     al = ["'", "s", "t", "re", "ve", "ll", "d", " ", "  ", "\n", "\t", "a", "Z", "1", "½", "!", "é", "日", " ", "\x1c", "\x85", "😀", "́", "_", "<|endoftext|>"]

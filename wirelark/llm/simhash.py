@@ -297,13 +297,13 @@ def components(links: DataFrame, few: int = 131_072) -> DataFrame:
 
 
 def fingerprint_components(prints: DataFrame, words: list[str], link: Link, per_shard: int = 4096, sample: int = 50_000, max_shards: int = 4096) -> DataFrame:
-    """The words and component_id of every distinct fingerprint of prints (doc_id, n_shingles, words). The sample only shapes the tree."""
+    """The words, root (of its component) and component_id of every distinct fingerprint of prints (doc_id, n_shingles, words). The sample only shapes the tree."""
     node = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
     distinct = materialise(prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles")).withColumn("node", node))
     roots = materialise(components(shard_links(distinct.select("node", "n_shingles", *words), words, link, per_shard, sample, max_shards)))
     named = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root").select(*words, "component_id")
+    return named.join(ids, "root").select(*words, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, link: Link = Link(2), seeds: tuple[int, ...] = (42,), **how) -> DataFrame:
@@ -322,13 +322,24 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, see
     Documents without doc_id stay.
     """
     bits = int(BITS * len(seeds) * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
-    found = materialise(near_duplicates(docs, shingle, Link(bits, similarity), seeds, per_shard=per_shard, **how).select("doc_id", "component_id"))
-    # written first, so that its size is known: texts are shuffled only where it is too large to broadcast
-    dropped = materialise(found.where("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    words = [f"fp{i}" for i in range(len(seeds))]
+    own = docs.select("doc_id", "text").withColumns({"h1": F.xxhash64(F.lit(1), "text"), "h2": F.xxhash64(F.lit(2), "text")})  # a row is known by its doc_id and text
+    prints = materialise(with_fingerprints(own, shingle, seeds).drop("text"))
+    found = materialise(prints.join(fingerprint_components(prints, words, Link(bits, similarity), per_shard=per_shard, **how), words).select("doc_id", "h1", "h2", "root", "component_id"))
+    far = F.col("doc_id") != F.col("component_id")
+    ids = found.groupBy("doc_id").agg(F.every(far).alias("all"), F.some(far).alias("any"))
+    # written first, so that their sizes are known: texts are shuffled only where they are too large to broadcast
+    dropped = materialise(ids.where("all").select("doc_id"))
+    in_part = materialise(found.where(far).join(ids.where("any and not all").select("doc_id"), "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct())
+    alike = found.where("doc_id = component_id").groupBy("root").count().where("count > 1").select("root")
+    repeated = materialise(found.where("doc_id = component_id").join(alike, "root", "left_semi").select("doc_id", "h1", "h2", "root").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), *(F.xxhash64(F.lit(i), "text").alias(f"_h{i}") for i in (1, 2)))  # other columns may have any names
+    same = lambda df: (F.col("_id") == df["doc_id"]) & (F.col("_h1") == df["h1"]) & (F.col("_h2") == df["h2"])
+    kept = rows.join(dropped, F.col("_id") == dropped["doc_id"], "left_anti")
+    if not in_part.isEmpty():
+        kept = kept.join(in_part, same(in_part), "left_anti")
     if repeated.isEmpty():
-        return kept
-    # the rows that share a kept doc_id, few as they are, go through a grouping of their own
-    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("x")).select("x.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+        return kept.select("_doc.*")
+    # the rows that share a kept doc_id and component, few as they are, go through a grouping of their own
+    one = kept.join(repeated, same(repeated)).groupBy("root").agg(F.min_by("_doc", F.struct("_h1", "_h2")).alias("_doc"))
+    return kept.join(repeated, same(repeated), "left_anti").select("_doc.*").unionByName(one.select("_doc.*"))
