@@ -201,6 +201,20 @@ def test_pii_finds_unseen_identifiers(spark):
     assert got[100].spans == "phone:12:26" and got[100].n_phone == 0 and got[101].spans == ""
 
 
+def test_pii_finds_spaced_and_spelt_identifiers(spark):
+    seen = [(i, f"please ring +1 (555) 123-{4000 + i} or mail u{i}@host.org now", "en", "s", 1) for i in range(60)]
+    texts = ["ring 030 1234567", "ring 0171 5551234 today", "ring 5 10 times", "mail jane(at)host.org", "mail jane at host dot org, please", "ring jane(at)host.org", "walk 030 1234567"]
+    rows = seen + [(100 + i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[100 + i] for i in range(len(texts))] == ["phone:5:16", "phone:5:17", "", "email:5:21", "email:5:25", "", ""]
+
+
+def test_pii_instances_are_seeds_of_further_patterns(spark):
+    made = [(f"ring +1 (555) 123-{4000 + i}") for i in range(200)] + [f"ring 0049/30/{998800 + i} or dial 0049/30/{998800 + i}" for i in range(9)] + ["dial 0049/30/111111"]
+    got = [r.spans for r in pii.personal_data(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], DOCS)).orderBy("doc_id").collect()]
+    assert got[-1] == "phone:5:19"
+
+
 def test_redaction(spark, odd):
     rows = {(r.doc_id, r.text): r for r in pii.redacted(odd).collect()}
     text = next(t for (i, t) in rows if i == 8)

@@ -2,10 +2,12 @@
 
 Everything runs as DataFrame expressions. The fixed forms (email, ip, card, phone) are seed entities.
 A seed's context - the word before it and its own outline, digits and letters folded - induces a
-lexical pattern. Other identifier-like tokens (words with several digits) under the same patterns are
-instances. The bipartite graph of patterns and instances is scored in rounds: a pattern's confidence
+lexical pattern. Other text of an identifier's outline under the same patterns is an instance: words and
+groups of numbers that hold at least four digits in all, and addresses that spell out at and dot ("jane(at)host.org",
+"jane at host dot org"), which count for email alone. Fewer digits are taken for no identifier. The bipartite graph of patterns and instances is scored in rounds: a pattern's confidence
 for a kind is the mean of its instances' scores with a prior against it, an instance's is that of the
-patterns that found it combined as independent evidence; seeds keep a score of 1. Instances under a
+patterns that found it combined as independent evidence; seeds keep a score of 1. Instances whose score
+passes the threshold count as seeds of further patterns in the next round. Instances under a
 pattern that ends above the threshold, with enough different seeds, become spans of that kind.
 
 The graph is built of distinct (pattern, instance) pairs, so a pattern or an instance that occurs in a
@@ -35,8 +37,11 @@ FORMS = {
 }
 #: A cheap test that a text may hold the form at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words that hold at least four digits.
-CANDIDATE = r"(?<![^ \t-\r])(?:[^ \t-\r0-9]*+[0-9]){4}[^ \t-\r]*+"
+#: An address with at and dot spelt out.
+SPELT = r"[A-Za-z0-9._%+-]++(?: ?[(\[{<](?i:at)[)\]}>] ?| (?i:at) )[A-Za-z0-9-]++(?:(?:\.| ?[(\[{<](?i:dot)[)\]}>] ?| (?i:dot) )[A-Za-z0-9-]++)++"
+GROUP = r"[0-9](?:[()./-]*+[0-9])*+\)?+"
+#: Spelt addresses, groups of numbers with single spaces between, words that hold at least four digits.
+CANDIDATE = rf"(?<![^ \t-\r])(?:{SPELT}|[+(]*+{GROUP}(?: [+(]?+{GROUP}(?=[.,;:!?)\]]*+(?:[ \t-\r]|$)))++|(?:[^ \t-\r0-9]*+[0-9]){{4}}[^ \t-\r]*+)"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: How far back the word before a span is looked for, in code points.
 REACH = 48
@@ -46,6 +51,10 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def spelt(x: Column) -> Column:
+    return x.rlike(rf"^{SPELT}$")
+
+
 def passes(kind: str, x: Column) -> Column:
     if kind == "ip":
         return x.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
@@ -99,34 +108,41 @@ def scanned(docs: DataFrame, *carried: str) -> DataFrame:
         found = found.withColumn(f"_{kind}", F.when(hint, located(F.col("text"), form)))
     own = [checked(kind, i) for i, kind in enumerate(KINDS)]
     found = found.withColumn("base", F.array_sort(F.concat(*own)))
-    free = F.filter(located(F.col("text"), CANDIDATE), lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    held = F.filter(located(F.col("text"), CANDIDATE), lambda c: (F.length(digits(c["hit"])) >= 4) | spelt(c["hit"]))
+    free = F.filter(held, lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     cand = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["hit"].alias("hit"), context(F.col("text"), x).alias("ahead")))
     return found.withColumn("cand", cand).select(*carried, "base", "cand")
 
 
 def confident_patterns(found: DataFrame, rounds: int, least_seeds: int, threshold: float, prior: float) -> DataFrame:
     """ahead, shape, kind of the patterns whose confidence passes; one kind per pattern."""
-    pattern = lambda x: [x["ahead"].alias("ahead"), outline(x["hit"]).alias("shape")]
-    seeds = found.select(F.explode("base").alias("x")).select(F.col("x.ahead").alias("ahead"), outline(F.col("x.hit")).alias("shape"), F.xxhash64("x.hit").alias("item"), F.col("x.kind").alias("kind"))
-    others = found.select(F.explode("cand").alias("x")).select(*pattern(F.col("x")), F.xxhash64("x.hit").alias("item"), F.lit(None).cast("int").alias("kind"))
-    # A pattern needs a word ahead and seeds of its own to find anything.
-    words = seeds.where("ahead != ''").groupBy("ahead").agg(F.approx_count_distinct("item").alias("n")).where(F.col("n") >= least_seeds).select("ahead")
-    edges = materialise(seeds.union(others).where("ahead != ''").groupBy("ahead", "shape", "item").agg(F.max("kind").alias("kind")).join(words, "ahead"))
-    kinds = edges.where("kind is not null").groupBy("ahead").agg(F.mode("kind", deterministic=True).alias("for"), F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    edges = materialise(edges.join(kinds, "ahead").withColumn("score", F.when(F.col("kind").isNull(), 0.0).otherwise((F.col("kind") == F.col("for")).cast("double"))))
-    scores = edges.groupBy("ahead", "for").agg((F.sum("score") / (F.count("*") + prior)).alias("confidence"))
-    for _ in range(rounds - 1):
-        told = edges.where("kind is null").join(scores.select("ahead", "confidence"), "ahead")
-        items = told.groupBy("item", "for").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
-        now = edges.join(items, ["item", "for"], "left").withColumn("score", F.when(F.col("kind").isNull(), F.coalesce("belief", F.lit(0.0))).otherwise(F.col("score")))
+    edge = lambda x, kind: [F.col(f"{x}.ahead").alias("ahead"), outline(F.col(f"{x}.hit")).alias("shape"), F.xxhash64(f"{x}.hit").alias("item"), kind.cast("int").alias("kind"), spelt(F.col(f"{x}.hit")).alias("spelt")]
+    seeds = found.select(F.explode("base").alias("x")).select(*edge("x", F.col("x.kind")))
+    others = found.select(F.explode("cand").alias("x")).select(*edge("x", F.lit(None)))
+    # A pattern needs a word ahead.
+    edges = materialise(seeds.union(others).where("ahead != ''").groupBy("ahead", "shape", "item").agg(F.max("kind").alias("kind"), F.some("spelt").alias("spelt")))
+    fits = ~F.col("spelt") | (F.col("for") == KINDS.index("email"))
+    believed = scores = None
+    for _ in range(rounds):
+        known = edges.withColumn("seed", F.col("kind"))
+        if believed is not None:
+            known = edges.join(believed.where(F.col("belief") >= threshold).groupBy("item").agg(F.max_by("for", F.struct("belief", "for")).alias("found")), "item", "left").withColumn("seed", F.coalesce("kind", "found")).drop("found")
+        kinds = known.where("seed is not null").groupBy("ahead").agg(F.mode("seed", deterministic=True).alias("for"), F.count_distinct("item").alias("seeds")).where(F.col("seeds") >= least_seeds).select("ahead", "for")
+        now = known.join(kinds, "ahead").where(F.col("kind").isNotNull() | fits)
+        belief = F.lit(0.0)
+        if believed is not None:
+            now, belief = now.join(believed, ["item", "for"], "left"), F.coalesce("belief", F.lit(0.0))
+        now = now.withColumn("score", F.when(F.col("kind").isNull(), belief).otherwise((F.col("kind") == F.col("for")).cast("double")))
         scores = materialise(now.groupBy("ahead", "for").agg((F.sum("score") / (F.count("*") + prior)).alias("confidence")))
+        told = edges.where("kind is null").join(scores, "ahead").where(fits)
+        believed = materialise(told.groupBy("item", "for").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief")))
     return scores.where(F.col("confidence") >= threshold).select("ahead", F.col("for").alias("kind"))
 
 
 def extensions(found: DataFrame, *key: str, rounds: int = 3, least_seeds: int = 5, threshold: float = 0.8, prior: float = 1.0) -> DataFrame:
     """key and more: the spans that confident patterns add to rows of found, as (start, kind, stop)."""
     patterns = confident_patterns(found, rounds, least_seeds, threshold, prior)
-    hits = found.select(*key, F.explode("cand").alias("x")).select(*key, "x.start", "x.stop", F.col("x.ahead").alias("ahead")).join(patterns, "ahead")
+    hits = found.select(*key, F.explode("cand").alias("x")).select(*key, "x.start", "x.stop", F.col("x.ahead").alias("ahead"), spelt(F.col("x.hit")).alias("spelt")).join(patterns, "ahead").where(~F.col("spelt") | (F.col("kind") == KINDS.index("email")))
     # written first, so that its size is known: rows are shuffled only where it is too large to broadcast
     return materialise(hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "stop"))).alias("more")))
 
