@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from wirelark import shared
 from wirelark.functions import bpf, walkers
 from wirelark.functions import bytesx as B
 from wirelark.operators import build, custom
@@ -20,8 +19,7 @@ QUERIES: dict = {}
 
 def folder(spark) -> str:
     """A fresh folder in the place all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/wirelark"
-    return f"{base.rstrip('/')}/captures-{uuid.uuid4().hex}"
+    return shared.fresh_path(spark, "captures")
 
 
 @query(QUERIES, packets_sql(f"SELECT event_id, 'Ethernet/IPv4/TCP' || CASE WHEN pay > 0 THEN '/Raw' ELSE '' END AS layers, {quad('src_ip')} AS src, {quad('dst_ip')} AS dst, sport, dport, seq, ack, flags, 40 + pay AS total_len, event_id % 65536 AS ident FROM p"))
