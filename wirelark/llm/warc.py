@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import materialise, shared_dir
+from wirelark.llm.common import fresh_path, materialise
 
 STEP = 1 << 16
 ARCHIVE_BYTES = 64 << 20
@@ -220,6 +220,5 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Write pages to fresh archives in the shared folder and read them back."""
-    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    folder = fresh_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, least_bytes), folder)
