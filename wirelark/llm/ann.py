@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Lists are the leaves of a balanced recursive two-means split of a bounded sample, so each stands for
-about as many vectors. Every vector goes to its nearest list, and, when it lies near a boundary, to a
-few more whose centroids aren't hidden behind one already taken. Centroids are found through a graph
+about as many vectors; there are as many lists as a list has vectors, up to a bound. Vectors are scaled and
+lifted to a sphere, where the largest inner product is the least distance. Every vector goes to its nearest list,
+and, when it lies near the boundary to another - its projection on the line between the two centroids is
+close to the middle - to a few more, in directions that differ. Centroids are found through a graph
 of near centroids held in memory: a best-first walk to the nearest, then outwards over all centroids
 whose distance is within a ratio of the nearest. A query takes the lists within the ratio, however
-many, so the ratio alone decides what is pruned.
+many, so the ratio alone decides what is pruned. The ratio is calibrated: vectors held out of
+the sample ask for their true neighbours in it, and the ratio is the least that reaches the wanted share of
+them. On vectors without clusters that share needs most lists; on clustered ones few.
 
-A list's vectors and queries are cut into blocks of bounded size which are met pairwise by one task
+A group of lists and its queries are cut into blocks of bounded size which are met pairwise by one task
 each, so a common vector costs many small tasks rather than one large one. Inner products are ranked in
 double precision; equal vectors get equal scores, as each score is summed in the same order.
 
@@ -20,6 +24,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,24 +35,36 @@ from pyspark.sql import functions as F
 
 from wirelark.llm.common import materialise
 
-#: Rows of a block of vectors, and of its queries. Small lists share a block, so that a query's finds are merged before they leave it.
-VECTORS, QUERIES = 16_384, 1024
+#: Components of a block of vectors, and of its queries. Small lists share a block, so that a query's finds are merged before they leave it.
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 20, 1 << 18
+#: Components that the driver holds of the sample, and of the centroids that are broadcast.
+SAMPLE_BLOCK, CENTROID_BLOCK = 1 << 23, 1 << 22
+#: Held-out queries of the calibration, and rows of the rough products made at once.
+HELD_OUT, ROWS = 256, 512
+#: Centroids that a walk keeps in view before it may end.
+WALK = 16
 
 
 @dataclass
 class CentroidGraph:
-    """Centroids of vectors lifted so that nearest in distance is largest in inner product."""
+    """Centroids of vectors lifted so that nearest in distance is largest in inner product, linked to near ones; entries: an upper layer."""
 
     centroids: np.ndarray
     links: np.ndarray
-    entry: int
+    entries: np.ndarray
 
     def within(self, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids within ratio of the nearest distance to x, and at least ``least`` walked to: (ids, squared distances), nearest first."""
+        """Centroids within ratio of the nearest distance to x, and at least ``least`` walked to: (ids, squared distances), nearest first.
+
+        The walk starts at the nearest entries and goes on from the nearest centroid not yet left.
+        """
         c = self.centroids
-        first = float(((c[self.entry] - x) ** 2).sum())
-        seen = {self.entry: first}
-        queue, best, nearest = [(first, self.entry)], first, [-first]
+        d = ((c[self.entries] - x) ** 2).sum(axis=1)
+        begin = np.argsort(d)[:8]
+        seen = dict(zip(self.entries[begin].tolist(), d[begin].tolist()))
+        queue = sorted((e, k) for k, e in seen.items())
+        best, nearest = queue[0][0], sorted(-e for e in seen.values())[-least:]
+        heapq.heapify(nearest)
         while queue:
             d, at = heapq.heappop(queue)
             if d > best * ratio * ratio and len(nearest) >= least and d > -nearest[0]:
@@ -67,7 +84,7 @@ class CentroidGraph:
 
 
 def balanced_lists(sample: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
-    """Means of the leaves of a recursive split into halves along the line between two means."""
+    """Means of the leaves of a recursive split into like halves along the line between two means, then moved to the means of what is nearest to them."""
     leaves = [sample]
     while len(leaves) < lists:
         leaves.sort(key=len)
@@ -84,7 +101,14 @@ def balanced_lists(sample: np.ndarray, lists: int, rng: np.random.Generator) ->
         order = np.argsort(own @ (b - a), kind="stable")
         half = int(min(max(near.sum(), 0.3 * len(own)), 0.7 * len(own)))
         leaves += [own[order[:half]], own[order[half:]]]
-    return np.array([x.mean(axis=0) for x in leaves])
+    means = np.array([x.mean(axis=0) for x in leaves])
+    for _ in range(3):
+        norms = (means**2).sum(axis=1)
+        at = np.concatenate([(norms - 2 * sample[i : i + 1024] @ means.T).argmin(axis=1) for i in range(0, len(sample), 1024)])
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        means = np.add.reduceat(sample[order], begin) / np.diff(np.r_[begin, len(at)])[:, None]
+    return means
 
 
 def make_graph(centroids: np.ndarray, degree: int = 16) -> CentroidGraph:
@@ -92,133 +116,226 @@ def make_graph(centroids: np.ndarray, degree: int = 16) -> CentroidGraph:
     n = len(centroids)
     rng = np.random.default_rng(5)
     norms = (centroids**2).sum(axis=1)
-    links = np.zeros((n, min(degree, n - 1) + 4), np.int64)
+    near = min(degree, n - 1)
+    links = np.zeros((n, near + 4), np.int64)
     for i in range(0, n, 1024):
         d = norms[i : i + 1024, None] + norms[None, :] - 2 * centroids[i : i + 1024] @ centroids.T
-        links[i : i + 1024, : min(degree, n - 1)] = np.argsort(d, axis=1)[:, 1 : min(degree, n - 1) + 1]
-    links[:, -4:] = rng.integers(0, n, (n, 4))
+        links[i : i + 1024, :near] = np.argsort(d, axis=1)[:, 1 : near + 1]
+    links[:, near:] = rng.integers(0, n, (n, 4))
     links[:, -1] = (np.arange(n) + 1) % n
-    return CentroidGraph(centroids, links, int(((centroids - centroids.mean(axis=0)) ** 2).sum(axis=1).argmin()))
+    return CentroidGraph(centroids, links, np.sort(rng.permutation(n)[: 4 * math.isqrt(n)]))
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (the components as little-endian floats) of the vectors that take part."""
+    """vec_id and embedding of the vectors that take part."""
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return vectors.select("vec_id", "embedding").where(ok & finite)
 
 
 def stacked(embeddings: pd.Series) -> np.ndarray:
-    return np.array(embeddings.tolist(), dtype=np.float32)
-
-
-def fit(vectors: DataFrame, lists: int, sample_rows: int, dim: int) -> tuple[CentroidGraph, float]:
-    """(graph, greatest norm of the sample) from at most sample_rows vectors, drawn by a hash of vec_id."""
-    rows = vectors.select("embedding", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h").limit(sample_rows).toPandas()
-    x = stacked(rows.embedding).astype(np.float64)
-    norms = (x**2).sum(axis=1)
-    top = float(norms.max())
-    lifted = np.hstack([x, np.sqrt(np.maximum(top - norms, 0))[:, None]])
-    return make_graph(balanced_lists(lifted, lists, np.random.default_rng(2))), top
-
-
-def top_pairs(f: pd.DataFrame, g: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best vec_ids of block g of vectors for each query of block f, each by its best score, ties by vec_id."""
-    g = g.sort_values("vec_id", kind="stable")
-    q, v = stacked(f.embedding).astype(np.float64), stacked(g.embedding).astype(np.float64)
-    ids, asked = g.vec_id.to_numpy(), f.query_id.to_numpy()
-    rough = q @ v.T
-    rough[asked[:, None] == ids[None, :]] = -np.inf
-    # a vec_id with several vectors takes one place: the edge is sought among the best of each
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    alone = len(first) == len(ids)
-    each = rough if alone else np.maximum.reduceat(rough, first, axis=1)
-    n = min(k, len(first))
-    edge = np.partition(each, len(first) - n, axis=1)[:, len(first) - n] if len(first) > n else np.full(len(q), -np.inf)
-    out = []
-    for i in range(len(q)):
-        # near misses of the rough products are scored too: each score is summed in one fixed order
-        at = np.flatnonzero((rough[i] >= edge[i] - 1e-9 * (1 + abs(edge[i]))) & (rough[i] > -np.inf)) if np.isfinite(edge[i]) else np.flatnonzero(rough[i] > -np.inf)
-        scores = (v[at] * q[i]).cumsum(axis=1)[:, -1]
-        order = np.lexsort((ids[at], -scores))
-        order = (order if alone else order[np.sort(np.unique(ids[at][order], return_index=True)[1])])[:n]
-        out.append((np.full(len(order), asked[i]), ids[at][order], scores[order]))
-    a, b, c = (np.concatenate(x) for x in zip(*out))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, list_size: int = 2048, max_lists: int = 16_384, sample_rows: int = 100_000, ratio: float = 1.15, copies: int = 3, copy_ratio: float = 1.05) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found among embeddings for each row of queries (vec_id, embedding).
+    return np.array(embeddings.tolist(), dtype=np.float64)
+
 
-    At most sample_rows vectors shape at most max_lists lists; every vector is indexed. Lists that
-    outgrow list_size are cut into blocks, so max_lists bounds the broadcast centroids, not the data.
+@dataclass
+class Lists:
+    """Centroids of lifted vectors, and how vectors and queries find theirs. scale: the largest component; top: of the squared norms."""
+
+    graph: CentroidGraph
+    scale: float
+    top: float
+    copies: int
+    margin: float
+    ratio: float = 1.0
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.scale
+        return np.hstack([x, np.sqrt(np.maximum(self.top - (x**2).sum(axis=1), 0))[:, None]])
+
+    def aimed(self, q: np.ndarray) -> np.ndarray:
+        """Queries on the sphere: a query's length doesn't change its ranking."""
+        q = q / self.scale
+        return np.hstack([q * (math.sqrt(self.top) / np.linalg.norm(q, axis=1, keepdims=True)), np.zeros((len(q), 1))])
+
+    def homes(self, y: np.ndarray) -> np.ndarray:
+        """The lists of one lifted vector: the nearest, and those whose boundary it is close to, in directions that differ."""
+        ids, d = self.graph.within(y, 1.0, WALK)
+        c = self.graph.centroids
+        lines = c[ids[1:]] - c[ids[0]]
+        size = (lines**2).sum(axis=1)
+        taken: list[int] = []
+        # 0 on the boundary between the two lists, 1 at the nearest centroid
+        for k in np.flatnonzero((d[1:] - d[0] <= self.margin * size) & (size > 0))[: 4 * self.copies]:
+            if len(taken) == self.copies - 1:
+                break
+            if all(lines[k] @ lines[t] <= 0.5 * math.sqrt(size[k] * size[t]) for t in taken):
+                taken.append(int(k))
+        return ids[[0, *(t + 1 for t in taken)]].astype(np.int32)
+
+    def probes(self, y: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+        """The lists of one aimed query: those within the ratio, and beyond it until they hold k candidates. held: vec_ids by list, each counted once."""
+        least = WALK
+        while True:
+            ids, d = self.graph.within(y, self.ratio, least)
+            taken = max(int((d <= d[0] * self.ratio**2).sum()), 1 + int(np.searchsorted(np.cumsum(held[ids]), k + 1)))
+            if taken <= len(ids) or len(ids) == len(held):
+                return ids[:taken].astype(np.int32)
+            least *= 4
+
+    def calibrate(self, sample: np.ndarray, queries: np.ndarray, k: int, recall: float) -> None:
+        """Set ratio to the least at which the queries reach the share recall of their k nearest of the sample."""
+        if not len(queries) or not len(sample):
+            return
+        near = np.argpartition(-((queries / self.scale) @ (sample / self.scale).T), min(k, len(sample)) - 1, axis=1)[:, :k]
+        homes = {int(i): self.homes(y) for i, y in zip(np.unique(near), self.lifted(sample[np.unique(near)]))}
+        c = self.graph.centroids
+        aimed = self.aimed(queries)
+        d = np.maximum((aimed**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * aimed @ c.T, 0)
+        needed = np.sort([d[i, homes[int(j)]].min() / max(d[i].min(), 1e-300) for i, row in enumerate(near) for j in row])
+        self.ratio = math.sqrt(float(needed[math.ceil(recall * len(needed)) - 1])) * (1 + 1e-9)
+
+
+def fit(vectors: DataFrame, n: int, dim: int, k: int, lists: int | None, sample_rows: int, copies: int, margin: float, recall: float) -> Lists:
+    """Lists and ratio from at most sample_rows vectors (fewer where they are wide), drawn by a hash of vec_id; equal ones count once."""
+    most = max(1024, min(sample_rows, SAMPLE_BLOCK // dim))
+    rows = vectors.select("embedding", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h").limit(most).toPandas()
+    x = stacked(rows.embedding)
+    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
+    held = min(HELD_OUT, len(x) // 8)
+    queries, x = x[:held], x[held:]
+    scale = float(np.abs(x).max())
+    made = Lists(None, scale, float(((x / scale) ** 2).sum(axis=1).max()), copies, margin)
+    wanted = min(lists or math.isqrt(n), max(1, CENTROID_BLOCK // dim), max(1, len(x) // 4))
+    made.graph = make_graph(balanced_lists(made.lifted(x), wanted, np.random.default_rng(2)))
+    made.calibrate(x, queries, k, recall)
+    return made
+
+
+def first_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Positions of rows, those of equal vectors only for their k + 1 least ids: no others can be among the k nearest."""
+    same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    if same.size == 0 or same.max() + 1 == len(same):
+        return np.arange(len(ids))
+    order = np.lexsort((ids, same))
+    s, i = same[order], ids[order]
+    fresh = np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1])]  # repeats of a row go too
+    order, s = order[fresh], s[fresh]
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    place = np.arange(len(s)) - np.repeat(begin, np.diff(np.r_[begin, len(s)]))
+    return np.sort(order[place <= k])
+
+
+def list_pairs(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) positions of one list that may be among the k best vec_ids of a query; ids ascend.
+
+    bound: the k-th best rough product of each query so far, raised here. Near misses of rough products pass.
     """
-    spark = embeddings.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    alone = len(first) == len(ids)
+    widest = np.sqrt((v**2).sum(axis=1).max())
+    for at in range(0, len(q), ROWS):
+        part = slice(at, at + ROWS)
+        rough = q[part] @ v.T
+        rough[asked[part, None] == ids[None, :]] = -np.inf
+        each = rough if alone else np.maximum.reduceat(rough, first, axis=1)
+        if len(first) >= k:
+            bound[part] = np.maximum(bound[part], np.partition(each, len(first) - k, axis=1)[:, len(first) - k])
+        slack = 8 * q.shape[1] * np.finfo(float).eps * widest * np.sqrt((q[part] ** 2).sum(axis=1))
+        a, b = np.nonzero((rough >= (bound[part] - slack)[:, None]) & (rough > -np.inf))
+        yield a + at, b
+
+
+def meet(f: pd.DataFrame, g: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best vec_ids of a block of vectors (vec_id, embedding, list) for each of its queries (query_id, embedding, lists), ties by vec_id."""
+    asked, q = f.query_id.to_numpy(), stacked(f.embedding)
+    takers = f.lists.explode()
+    takers = pd.Series(np.repeat(np.arange(len(f)), f.lists.map(len))).groupby(takers.to_numpy(np.int64)).apply(np.array).to_dict()
+    bound = np.full(len(q), -np.inf)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for name, own in g.groupby("list"):
+        at = takers.get(name)
+        if at is None:
+            continue
+        own = own.sort_values("vec_id", kind="stable")
+        ids, v = own.vec_id.to_numpy(), stacked(own.embedding)
+        keep = first_copies(ids, v, k)
+        ids, v = ids[keep], v[keep]
+        limits = bound[at]
+        for a, b in list_pairs(asked[at], q[at], ids, v, k, limits):
+            for i in range(0, len(a), 1 << 16):  # each score is summed in one fixed order
+                x, y = at[a[i : i + (1 << 16)]], b[i : i + (1 << 16)]
+                found.append((x, ids[y], (v[y] * q[x]).cumsum(axis=1)[:, -1]))
+        bound[at] = limits
+    if not found:
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    x, ids, scores = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((-scores, ids, x))  # the best score of each vec_id
+    x, ids, scores = x[order], ids[order], scores[order]
+    best = np.r_[True, (x[1:] != x[:-1]) | (ids[1:] != ids[:-1])]
+    x, ids, scores = x[best], ids[best], scores[best]
+    order = np.lexsort((ids, -scores, x))
+    x, ids, scores = x[order], ids[order], scores[order]
+    begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    place = np.arange(len(x)) - np.repeat(begin, np.diff(np.r_[begin, len(x)]))
+    keep = place < k
+    return pd.DataFrame({"query_id": asked[x[keep]], "vec_id": ids[keep], "score": scores[keep]})
+
+
+def placed_and_probed(embeddings: DataFrame, queries: DataFrame, k: int, lists: int | None, sample_rows: int, copies: int, margin: float, recall: float) -> tuple[DataFrame, DataFrame, int] | None:
+    """(vec_id, embedding, lists) of vectors and of queries, and the dimension; None where no vector takes part."""
     rows = valid(embeddings)
     sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], empty)
+        return None
     dim, n = sizes[0].dim, sizes[0]["count"]
-    rows = rows.where(F.size("embedding") == dim)
+    rows = rows.where(F.size("embedding") == dim).distinct()  # copies of a row are one candidate
     asked = valid(queries).where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    lists = max(1, min(max_lists, n // list_size))
-    graph, top = fit(rows, lists, max(lists * 4, min(sample_rows, n)), dim)
+    made = fit(rows, n, dim, k, lists, sample_rows, copies, margin, recall)
 
     def to_lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = stacked(f.embedding).astype(np.float64)
-            lifted = np.hstack([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]])
-            own = []
-            for y in lifted:
-                ids, d = graph.within(y, copy_ratio, copies)
-                taken = [ids[0]]
-                for i, e in zip(ids[1:], d[1:]):
-                    if len(taken) == copies or e > d[0] * copy_ratio**2:
-                        break
-                    if ((graph.centroids[taken] - graph.centroids[i]) ** 2).sum(axis=1).min() > e:
-                        taken.append(i)
-                own.append(np.array(taken, np.int32))
-            yield f.assign(lists=own)
+            yield f.assign(lists=[made.homes(y) for y in made.lifted(stacked(f.embedding))])
+
+    kind = f"vec_id long, embedding {embeddings.schema['embedding'].dataType.simpleString()}, lists array<int>"
+    placed = materialise(rows.mapInPandas(to_lists, kind))
+    held = np.zeros(len(made.graph.centroids), np.int64)
+    for r in placed.groupBy("vec_id").agg(F.min(F.get("lists", F.lit(0))).alias("list")).groupBy("list").count().collect():
+        held[r.list] = r["count"]
 
     def to_probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = stacked(f.embedding).astype(np.float64)
-            x *= np.sqrt(top) / np.linalg.norm(x, axis=1, keepdims=True)  # a query's length doesn't change its ranking
-            lifted = np.hstack([x, np.zeros((len(x), 1))])
-            own = []
-            for y in lifted:
-                ids, d = graph.within(y, ratio, 1)
-                own.append(ids[d <= d[0] * ratio**2].astype(np.int32))
-            yield f.assign(lists=own)
-
-    kind = "vec_id long, embedding array<float>, lists array<int>"
-    floats = F.col("embedding").cast("array<float>").alias("embedding")
-    placed = materialise(rows.select("vec_id", floats).distinct().mapInPandas(to_lists, kind))  # copies of a row are one candidate
-    probes = materialise(asked.select("vec_id", floats).mapInPandas(to_probes, kind))
-    # one row per list, at most max_lists: lists in order fill groups of VECTORS vectors; larger ones are cut
+            yield f.assign(lists=[made.probes(y, held, k) for y in made.aimed(stacked(f.embedding))])
+
+    return placed, materialise(asked.mapInPandas(to_probes, kind)), dim
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, lists: int | None = None, sample_rows: int = 100_000, copies: int = 3, margin: float = 0.1, recall: float = 0.96) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found among embeddings for each row of queries (vec_id, embedding).
+
+    lists: as many as a list has vectors by default; bounded by CENTROID_BLOCK, as centroids are broadcast.
+    At most sample_rows vectors shape the lists and the probe ratio; every vector is indexed. copies: lists
+    of a vector at most; margin: how close to a boundary it takes more than one, of the way from
+    boundary to centroid; recall: wanted of the sample's neighbours.
+    """
+    spark = embeddings.sparkSession
+    made = placed_and_probed(embeddings, queries, k, lists, sample_rows, copies, margin, recall)
+    if made is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    placed, probes, dim = made
+    # one row per list: lists in order fill groups of a block of vectors; larger ones are cut
     loads = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).join(probes.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m")), "list").toPandas().sort_values("list")
-    loads["grp"] = (loads.n.cumsum() - 1) // VECTORS
-    per_group = loads.groupby("grp").agg(n=("n", "sum"), m=("m", "max"))
-    loads["nv"] = loads.grp.map(-(-per_group.n // (2 * VECTORS)))
-    loads["nq"] = loads.grp.map(-(-per_group.m // QUERIES))
+    loads["grp"] = (loads.n.cumsum() - 1) // max(1, VECTOR_BLOCK // dim)
+    per_group = loads.groupby("grp").agg(n=("n", "sum"), m=("m", "sum"))
+    loads["nv"] = loads.grp.map(-(-per_group.n // max(1, 2 * VECTOR_BLOCK // dim)))
+    loads["nq"] = loads.grp.map(-(-per_group.m.clip(upper=probes.count()) // max(1, QUERY_BLOCK // dim)))
     dims = [F.broadcast(spark.createDataFrame(loads[["list", "grp", "nv", "nq"]].astype("int64"), "list int, grp int, nv int, nq int")) for _ in range(2)]
-    spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     vs = placed.select("vec_id", "embedding", F.explode("lists").alias("list")).join(dims[0], "list").withColumn("bv", F.pmod(F.xxhash64("vec_id", "embedding"), "nv").cast("int")).withColumn("bq", every("nq")).drop("nv", "nq")
-    qs = probes.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("lists").alias("list")).join(dims[1], "list").withColumn("bq", spread("query_id", "nq")).withColumn("bv", every("nv")).drop("nv", "nq")
+    # a query goes to a group once, with its lists there
+    taken = probes.select("vec_id", F.explode("lists").alias("list")).join(dims[1], "list").groupBy("vec_id", "grp", "nv", "nq").agg(F.collect_list("list").alias("lists"))
+    qs = probes.drop("lists").join(taken, "vec_id").withColumn("bq", F.pmod(F.xxhash64("vec_id"), "nq").cast("int")).withColumn("bv", every("nv")).select(F.col("vec_id").alias("query_id"), "embedding", "lists", "grp", "bv", "bq")
     block = ["grp", "bv", "bq"]
-
-    def meet(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        """The k best of a block for each of its queries, over the lists that each query takes."""
-        vectors = dict(list(g.groupby("list")))
-        made = [top_pairs(x, vectors[name], k) for name, x in f.groupby("list") if name in vectors]
-        if not made:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        both = pd.concat(made).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-        return both.groupby("query_id").head(k)
-
-    found = qs.groupBy(block).cogroup(vs.groupBy(block)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = qs.groupBy(block).cogroup(vs.groupBy(block)).applyInPandas(lambda f, g: meet(f, g, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
