@@ -6,7 +6,7 @@ that dominate every other feasible set holding it are fixed for good - alone whe
 it, with its best partner when that fills the sequence or when only one more piece fits, with its best
 partner or pair when at most two fit and the classic dominance tests hold - and the rest is packed by
 best-fit decreasing, many equal sequences at a time. Pieces of a length are then numbered without
-gaps, and the plan says where the r-th piece of a length goes.
+gaps, and the plan says where the r-th piece of a length goes. Pieces of full length are sequences as they are.
 
 Defined results: a null or empty text is one piece of one token (the end token). Repeated rows and
 equal doc_ids are pieces of their own. No documents give no pieces.
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ from tokenizers import Tokenizer
 from wirelark.llm.common import materialise
 from wirelark.llm.tokencount import byte_symbols
 
-#: Each length is numbered in this many parts, so that a common length is no single task's work.
-PARTS = 16
+#: A length is numbered in parts of SMALL_PART pieces, in up to PARTS of them, and in more parts only of LARGE_PART
+#: pieces: a common length is no single task's work, and few sizes of parts come to the driver.
+SMALL_PART, PARTS, LARGE_PART = 4096, 64, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,22 +77,25 @@ def tokenizer(path: str, pattern: str) -> JsonTokenizer:
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece of each document: PIECES. Only longer documents are cut; the first piece is the short one."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         end = np.array([end_id], "<u4")
-        for f in frames:
-            rows = []
-            for doc, text in zip(f.doc_id, f.text):
+        for t in tables:
+            rows, of = [], []
+            for i, text in enumerate(t.column("text").to_pylist()):
                 ids = np.append(tok.ids(text or ""), end)
                 n = len(ids)
                 first = n % capacity or capacity
                 for k, stop in enumerate(range(first, n + 1, capacity)):
                     start = max(0, stop - capacity) if k else 0
-                    rows.append((doc, k, start, stop - start, zlib.crc32(ids[start:stop])))
-            made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64"})
+                    rows.append((k, start, stop - start, zlib.crc32(ids[start:stop])))
+                    of.append(i)
+            made = np.array(rows, np.int64).reshape(-1, 4).T
+            # ids stay in their column: nulls beside large numbers would turn into floats elsewhere
+            columns = [t.column("doc_id").take(pa.array(of, pa.int64())), pa.array(made[0], pa.int32()), *map(pa.array, made[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(batches, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, PIECES)
 
 
 class Plan:
@@ -219,16 +224,25 @@ def make_plan(counts: np.ndarray, capacity: int) -> Plan:
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece: PIECES, sequence_id, offset."""
-    made = materialise(pieces(docs, path, pattern, capacity, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")))
-    # at most capacity x PARTS rows reach the driver
-    sizes = made.groupBy("length", "part").count().toPandas().sort_values(["length", "part"])
+    # the row number is stored, so pieces with equal ids and contents are told apart alike by every task
+    made = materialise(pieces(docs, path, pattern, capacity, end_id).withColumn("_row", F.monotonically_increasing_id()))
+    spark, names = made.sparkSession, [f.split()[0] for f in PIECES.split(", ")]
+    # a piece of full length is a sequence, whose number needs no count
+    whole = made.where(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = made.where(F.col("length") < capacity)
+    lengths = rest.groupBy("length").count().toPandas().astype("int64")  # fewer than capacity rows
+    if not len(lengths):
+        return whole
     counts = np.zeros(capacity + 1, np.int64)
-    np.add.at(counts, sizes.length.to_numpy(np.int64), sizes["count"].to_numpy(np.int64))
+    counts[lengths.length] = lengths["count"]
     table = make_plan(counts, capacity).placements()
+    # each length is numbered in parts of bounded size, whose sizes are counted in turn
+    lengths["parts"] = np.maximum(np.minimum(PARTS, 1 + lengths["count"] // SMALL_PART), 1 + lengths["count"] // LARGE_PART)
+    parts = F.broadcast(spark.createDataFrame(lengths[["length", "parts"]], "length long, parts long"))
+    rest = rest.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts"))).drop("parts")
+    sizes = rest.groupBy("length", "part").count().toPandas().astype("int64").sort_values(["length", "part"])
     sizes["first"] = sizes.groupby("length")["count"].cumsum() - sizes["count"]
-    first = made.sparkSession.createDataFrame(sizes[["length", "part", "first"]].astype("int64"), "length long, part int, first long") if len(sizes) else None
-    if first is None:
-        return made.select(*[f.split()[0] for f in PIECES.split(", ")], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    first = F.broadcast(spark.createDataFrame(sizes[["length", "part", "first"]], "length long, part long, first long"))
     shift = 40
     keys = (table["length"] << shift) | table["rank"]
 
@@ -237,7 +251,7 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id:
         return pd.DataFrame({"sequence_id": table["sequence"][at] + ranks.to_numpy(np.int64) - table["rank"][at], "offset": table["offset"][at]})
 
     place.__annotations__ = {"lengths": pd.Series, "ranks": pd.Series, "return": pd.DataFrame}
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = made.withColumn("own", F.row_number().over(order) - 1).join(F.broadcast(first), ["length", "part"])
+    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "_row")
+    ranked = rest.withColumn("own", F.row_number().over(order) - 1).join(first, ["length", "part"])
     placed = ranked.withColumn("x", F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("first") + F.col("own")))
-    return placed.select(*[f.split()[0] for f in PIECES.split(", ")], "x.*")
+    return placed.select(*names, "x.*").unionByName(whole)
