@@ -111,7 +111,7 @@ def test_nearest(spark, n, dup):
     rows = [(i, [float(x) for x in v[i]], 0) for i in range(n)] + [(9001, None, 0), (9002, [0.0] * 8, 0), (9003, [float("nan")] * 8, 0), (9004, [1.0] * 7, 0), (9005, [1.0, None] + [0.0] * 6, 0), (None, [1.0] * 8, 0), (9006, [float("inf")] * 8, 0)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("list", F.lit(1))
     got = {}
-    for r in ann.nearest(e, e.where("vec_id % 20 = 0"), k=20, list_size=64).collect():
+    for r in ann.nearest(e, e.where("vec_id % 20 = 0"), k=20).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hits = total = 0
     for q in range(0, n, 20):
@@ -132,12 +132,44 @@ def test_nearest_of_repeated_rows(spark, same):
     v[1] = 9.0
     rows = [(i, [float(x) for x in v[i]], 0) for i in range(200)] * 2 + [(1, [9.0 - (0.0 if same else 0.001 * j)] * 8, 0) for j in range(60)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = ann.nearest(e, e.where("vec_id % 50 = 0"), k=20).collect()
+    some = ann.nearest(e, e.where("vec_id % 50 = 0"), k=20).groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).collect()
+    assert len(some) == 4 and all(r.n == 20 for r in some)
+    got = ann.nearest(e, e.where("vec_id % 50 = 0"), k=20, lists=1).collect()  # one list: an exhaustive search
     for q in range(0, 200, 50):
         s = v.astype(np.float32).astype(float) @ v[q].astype(np.float32).astype(float)
         assert [r.vec_id for r in sorted(got) if r.query_id == q] == sorted((i for i in range(200) if i != q), key=lambda i: -s[i])[:20]
 
 
+@pytest.mark.parametrize("kind,n", [("clustered", 6000), ("unclustered", 3000)])
+def test_lists_are_selected(spark, kind, n):
+    """At the defaults: many lists, some vectors in several, few lists probed where there are clusters; recall against brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    v = (centres[rng.integers(0, 40, n)] + 0.6 * rng.normal(size=(n, 32)) if kind == "clustered" else rng.normal(size=(n, 32))).astype(np.float32)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    placed, probes, _ = ann.placed_and_probed(e, e.where("vec_id % 20 = 0"), 20, None, 100_000, 3, 0.1, 0.96)
+    homes = [len(r.lists) for r in placed.select("lists").collect()]
+    probed = [len(r.lists) for r in probes.select("lists").collect()]
+    lists = placed.selectExpr("explode(lists) AS l").distinct().count()
+    assert lists >= 25 and 0.03 < np.mean([h > 1 for h in homes]) < 0.5
+    assert np.mean(probed) < (lists / 3 if kind == "clustered" else 0.9 * lists)
+    got = {}
+    for r in ann.nearest(e, e.where("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = v.astype(float)
+    want = {q: set(sorted((i for i in range(n) if i != q), key=lambda i, s=x @ x[q]: (-s[i], i))[:20]) for q in range(0, n, 20)}
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_nearest_of_doubles(spark):
+    """Scores are those of the vectors as they are, in double precision and of any size."""
+    rows = [(i, [0.1 * i + 1e-12, 1.0 + 1e-13 * i, 1e39 if i % 2 else 0.3]) for i in range(40)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = np.array([x for _, x in rows])
+    for r in ann.nearest(e, e.where("vec_id % 20 = 0"), k=5).collect():
+        assert r.score == (v[r.vec_id] * v[r.query_id]).cumsum()[-1]
+
+
 def test_nearest_of_nothing(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert ann.nearest(e, e).count() == 0
@@ -267,11 +299,10 @@ def test_simhash_shards_lose_no_link(spark, bits, per_shard):
     links = np.array([np.bitwise_count(x ^ fps) for x in fps]) <= bits
     want = simhash.forest(len(fps), *np.nonzero(links))
     df = spark.createDataFrame([(int(x.view(np.int64)), 1, int(x.view(np.int64))) for x in fps], "node long, n_shingles long, fp0 long")
-    edges = simhash.shard_links(df, ["fp0"], simhash.Link(bits), per_shard, 1000, 64)
-    for few in (0, 10**6):
-        roots = {r.node: r.root for r in simhash.components(edges, few).collect()}
-        got = [roots.get(int(x.view(np.int64)), int(x.view(np.int64))) for x in fps]
-        assert len({(a, b) for a, b in zip(got, want.tolist())}) == len(set(got)) == len(set(want.tolist()))
+    edges = simhash.shard_links(df.withColumn("least", F.lit(1).cast("long")), ["fp0"], simhash.Link(bits), per_shard, 64)
+    roots = {r.node.node: r.root.node for r in simhash.components(edges).collect()}
+    got = [roots.get(int(x.view(np.int64)), int(x.view(np.int64))) for x in fps]
+    assert len({(a, b) for a, b in zip(got, want.tolist())}) == len(set(got)) == len(set(want.tolist()))
 
 
 def test_dedup_keeps_one_of_each_group(spark, odd):
@@ -372,6 +403,14 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack(empty, JSON, P.PATTERN).count() == 0
 
 
+def test_packing_of_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1]
+    rows = packing.pack(spark.createDataFrame([(i, "word " * 5000) for i in ids], "doc_id long, text string").coalesce(1), JSON, P.PATTERN).collect()
+    assert {r.doc_id for r in rows} == set(ids) and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    full = [r.sequence_id for r in rows if r.length == 2048]
+    assert full and len(set(full)) == len(full) and not set(full) & {r.sequence_id for r in rows if r.length < 2048}
+
+
 def brute_secrets(t):
     t = t or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]

@@ -9,7 +9,9 @@ texts of like length, the length is a second metric that nodes may take (its van
 zero). Shards that stay large are met block by block. A task splits its own fingerprints by further
 pivots in the same way and compares exactly what is left. Shards return spanning forests rather
 than pairs, so output stays linear in dense groups, and components are found by alternating star
-contraction over those forests.
+contraction over those forests. A vertex is a fingerprint's least doc_id and hash, so the root of a
+component holds its least doc_id. Documents learn their component by a join on the fingerprint in
+which fingerprints of very many copies are broadcast.
 
 Defined results: a null or empty text, or one of separators only, has fingerprint zero, which links
 like any other. A text of fewer words than the shingle length is one shingle. Equal texts share a
@@ -18,20 +20,26 @@ fingerprint and so a component. component_id ignores null doc_ids; it is null wh
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import WORD_BYTES, materialise
+from wirelark.llm.common import WORD_BYTES, join_spread, materialise
 
 BITS = 64
 CHUNK = 1 << 16
 TILE = 512
+#: Fingerprints that the driver holds to shape the tree, at most.
+SAMPLE = 1 << 20
+#: Stands for a null doc_id among vertices, as the greatest one.
+NO_ID = (1 << 63) - 1
 
 
 def bit_counts(shingles: list[bytes], seed: int) -> np.ndarray:
@@ -151,10 +159,10 @@ def grow(sample: Points, leaves: int, link: Link, scale: float = 1.0, block: int
     """Split the fullest leaf until there are enough. scale: points of the whole for each of the sample."""
     rng = np.random.default_rng(seed)
     tree = VantageTree([], [], [], [], [])
-    open_leaves: list[tuple[Points, int, int]] = [(sample, -1, 0)]  # its sample, parent, side
-    done = []
+    open_leaves: list[tuple] = [(-len(sample), 0, sample, -1, 0)]  # by size; a number; its sample, parent, side
+    done, number = [], itertools.count(1)
     while open_leaves and len(open_leaves) + len(done) < leaves:
-        own, parent, side = open_leaves.pop(max(range(len(open_leaves)), key=lambda i: len(open_leaves[i][0])))
+        _, _, own, parent, side = heapq.heappop(open_leaves)
         cut = split(own, link, rng) if len(own) >= 16 else None
         if cut is None:
             done.append((own, parent, side))
@@ -164,8 +172,9 @@ def grow(sample: Points, leaves: int, link: Link, scale: float = 1.0, block: int
         if parent >= 0:
             (tree.inner, tree.outer)[side][parent] = node
         d = own.distances(cut[0])
-        open_leaves += [(own.at(d <= cut[1]), node, 0), (own.at(d > cut[1] - link.radius(cut[0])), node, 1)]
-    for k, (own, parent, side) in enumerate(done + open_leaves):
+        for side, at in enumerate((d <= cut[1], d > cut[1] - link.radius(cut[0]))):
+            heapq.heappush(open_leaves, (-int(at.sum()), next(number), own.at(at), node, side))
+    for k, (own, parent, side) in enumerate(done + [x[2:] for x in open_leaves]):
         if parent >= 0:
             (tree.inner, tree.outer)[side][parent] = ~k
         tree.blocks.append(max(1, round(len(own) * scale / block)))
@@ -227,13 +236,14 @@ def as_points(f: pd.DataFrame, words: list[str], link: Link) -> Points:
     return Points(fps, np.log(np.maximum(f.n_shingles.to_numpy("int64"), 1)) if link.ratio else None)
 
 
-def shard_links(distinct: DataFrame, words: list[str], link: Link, per_shard: int, sample: int, max_shards: int) -> DataFrame:
-    """Links (u, v), v < u, of nodes that span the components of distinct (node, n_shingles, words)."""
+def shard_links(distinct: DataFrame, words: list[str], link: Link, per_shard: int, max_shards: int) -> DataFrame:
+    """Links (u, v), v < u, of vertices that span the components of distinct (least, node, n_shingles, words); a vertex is (least, node)."""
     spark = distinct.sparkSession
     n = distinct.count()
     leaves = min(max_shards, max(1, n // per_shard))
+    sample = min(SAMPLE, max(SAMPLE // 16, 64 * leaves))
     share = min(1.0, 1.2 * sample / max(n, 1))
-    rows = distinct.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample).toPandas().sort_values("node")
+    rows = distinct.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample).toPandas().sort_values("node")
     tree = grow(as_points(rows, words, link), leaves, link, n / max(len(rows), 1))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,74 +256,71 @@ def shard_links(distinct: DataFrame, words: list[str], link: Link, per_shard: in
                     yield f.iloc[at].assign(shard=leaf, low=np.minimum(own, other), high=np.maximum(own, other), side=own > other)
 
     def link_up(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node")
-        node = f.node.to_numpy("int64")
+        f = f.sort_values(["least", "node"])
+        least, node = f.least.to_numpy("int64"), f.node.to_numpy("int64")
         label = local_components(as_points(f, words, link), link, None if f.low.iat[0] == f.high.iat[0] else f.side.to_numpy(bool))
         far = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"u": node[far], "v": node[label[far]]})
+        to = label[far]
+        return pd.DataFrame({"ul": least[far], "un": node[far], "vl": least[to], "vn": node[to]})
 
-    kind = ", ".join(f"{c} long" for c in ("node", "n_shingles", *words)) + ", shard int, low int, high int, side boolean"
+    own = ", ".join(f"{c} long" for c in ("least", "node", "n_shingles", *words))
     parts = max(sum(b * (b + 1) // 2 for b in tree.blocks), spark.sparkContext.defaultParallelism)
     key = ["shard", "low", "high"]
-    return distinct.mapInPandas(route, kind).repartition(min(parts, 4 * max_shards), *key).groupBy(key).applyInPandas(link_up, "u long, v long")
+    routed = distinct.select("least", "node", "n_shingles", *words).mapInPandas(route, own + ", shard int, low int, high int, side boolean")
+    found = routed.repartition(min(parts, 4 * max_shards), *key).groupBy(key).applyInPandas(link_up, "ul long, un long, vl long, vn long")
+    return found.select(vertex("ul", "un").alias("u"), vertex("vl", "vn").alias("v"))
 
 
-def few_components(edges: DataFrame) -> DataFrame:
-    """components() of a bounded number of edges, in one task."""
+def vertex(least: str, node: str) -> Column:
+    return F.struct(F.col(least).alias("least"), F.col(node).alias("node"))
 
-    def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *frames])
-        nodes, at = np.unique(f[["u", "v"]].to_numpy("int64"), return_inverse=True)
-        at = at.reshape(-1, 2)
-        yield pd.DataFrame({"node": nodes, "root": nodes[forest(len(nodes), at[:, 0], at[:, 1])]})
 
-    return edges.coalesce(1).mapInPandas(contract, "node long, root long")
-
-
-def components(links: DataFrame, few: int = 131_072) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root (the least reachable node) for every node of links (u, v), by star contraction.
 
-    At most ``few`` edges (2 MB) are contracted by one task at once; more go through rounds of joins.
-
     Large-star steps hang each node's larger neighbours on its least one, small-star steps its
-    smaller ones; both keep components, and about log(n) rounds leave one star per component.
+    smaller ones; both keep components, and about log(n) rounds leave one star per component. A star's
+    centre with many rays is no task's work: minima are partial aggregates, and the rays of centres that
+    hold much of the whole learn them by broadcast.
     """
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    edges, before = materialise(edges), None
-    if edges.count() <= few:
-        return few_components(edges)
-    while True:
+    edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    state = [F.count("*").alias("rows"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")]
+    now = edges.agg(*state).first()
+    while now.rows:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = materialise(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_spread(both, low, ["u"], 2 * now.rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # u has only smaller neighbours now: they hang on the least of them, and so does u
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, low, ["u"], now.rows)
+        hung = small.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).where("u != v").distinct()
+        edges, before = materialise(hung), now
+        now = edges.agg(*state).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def fingerprint_components(prints: DataFrame, words: list[str], link: Link, per_shard: int = 4096, sample: int = 50_000, max_shards: int = 4096) -> DataFrame:
-    """The words, root (of its component) and component_id of every distinct fingerprint of prints (doc_id, n_shingles, words). The sample only shapes the tree."""
+def fingerprint_components(prints: DataFrame, words: list[str], link: Link, per_shard: int = 16_384, max_shards: int = 65_536) -> DataFrame:
+    """The words, n (their rows), root (of the component) and component_id of every distinct fingerprint of prints (doc_id, n_shingles, words)."""
     node = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
-    distinct = materialise(prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles")).withColumn("node", node))
-    roots = materialise(components(shard_links(distinct.select("node", "n_shingles", *words), words, link, per_shard, sample, max_shards)))
-    named = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root").select(*words, "root", "component_id")
+    first = F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least")
+    distinct = materialise(prints.groupBy(*words).agg(first, F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n")).withColumn("node", node))
+    roots = materialise(components(shard_links(distinct, words, link, per_shard, max_shards)))
+    own = distinct.select(*words, "n", vertex("least", "node").alias("own"))
+    named = own.join(roots.withColumnRenamed("node", "own"), "own", "left").select(*words, "n", F.coalesce("root", "own").alias("root"))
+    return named.withColumn("component_id", F.nullif("root.least", F.lit(NO_ID)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, link: Link = Link(2), seeds: tuple[int, ...] = (42,), **how) -> DataFrame:
     """One row per document: doc_id, its fingerprint's words fp0, ... (signed), component_id (the least doc_id of its component)."""
     words = [f"fp{i}" for i in range(len(seeds))]
     prints = materialise(with_fingerprints(docs.select("doc_id", "text"), shingle, seeds).drop("text"))
-    return prints.join(fingerprint_components(prints, words, link, **how), words).select("doc_id", *words, "component_id")
+    found = materialise(fingerprint_components(prints, words, link, **how))
+    return join_spread(prints, found, words, prints.count()).select("doc_id", *words, "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1, 2, 3), per_shard: int = 16_384, **how) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1, 2, 3), **how) -> DataFrame:
     """docs with one document of each component kept: that of least doc_id.
 
     Links need an estimated Jaccard similarity of shingles of at least ``similarity``: the share of
@@ -325,14 +332,16 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, see
     words = [f"fp{i}" for i in range(len(seeds))]
     own = docs.select("doc_id", "text").withColumns({"h1": F.xxhash64(F.lit(1), "text"), "h2": F.xxhash64(F.lit(2), "text")})  # a row is known by its doc_id and text
     prints = materialise(with_fingerprints(own, shingle, seeds).drop("text"))
-    found = materialise(prints.join(fingerprint_components(prints, words, Link(bits, similarity), per_shard=per_shard, **how), words).select("doc_id", "h1", "h2", "root", "component_id"))
+    parts = materialise(fingerprint_components(prints, words, Link(bits, similarity), **how))
+    rows = prints.count()
+    found = materialise(join_spread(prints, parts, words, rows).select("doc_id", "h1", "h2", "root", "component_id"))
     far = F.col("doc_id") != F.col("component_id")
-    ids = found.groupBy("doc_id").agg(F.every(far).alias("all"), F.some(far).alias("any"))
+    ids = found.groupBy("doc_id").agg(F.every(far).alias("all"), F.some(far).alias("any"), F.count("*").alias("n"))
     # written first, so that their sizes are known: texts are shuffled only where they are too large to broadcast
     dropped = materialise(ids.where("all").select("doc_id"))
-    in_part = materialise(found.where(far).join(ids.where("any and not all").select("doc_id"), "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct())
-    alike = found.where("doc_id = component_id").groupBy("root").count().where("count > 1").select("root")
-    repeated = materialise(found.where("doc_id = component_id").join(alike, "root", "left_semi").select("doc_id", "h1", "h2", "root").distinct())
+    in_part = materialise(join_spread(found.where(far), ids.where("any and not all").select("doc_id", "n"), ["doc_id"], rows).select("doc_id", "h1", "h2").distinct())
+    kept_ids = found.where("doc_id = component_id").select("doc_id", "h1", "h2", "root")
+    repeated = materialise(join_spread(kept_ids, kept_ids.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), ["root"], rows).select("doc_id", "h1", "h2", "root").distinct())
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), *(F.xxhash64(F.lit(i), "text").alias(f"_h{i}") for i in (1, 2)))  # other columns may have any names
     same = lambda df: (F.col("_id") == df["doc_id"]) & (F.col("_h1") == df["h1"]) & (F.col("_h2") == df["h2"])
     kept = rows.join(dropped, F.col("_id") == dropped["doc_id"], "left_anti")
