@@ -10,7 +10,8 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 
 from wirelark.llm import packing, pii, quality, simhash
-from wirelark.llm.common import materialise, table
+from wirelark.llm.common import fresh_path, materialise, scratch, table
+from wirelark.shared import remove
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    """All stages, each written and read again before the next; what a stage leaves behind goes once it isn't needed."""
+    docs, written = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = fresh_path(spark, "stage")
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), path)
+        if written:
+            remove(spark, written)
+        written = path
+    return STAGES[-1][1](spark, docs, sf_dir)
