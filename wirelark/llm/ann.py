@@ -23,7 +23,6 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,8 +40,8 @@ VECTOR_BLOCK, QUERY_BLOCK = 1 << 20, 1 << 18
 SAMPLE_BLOCK, CENTROID_BLOCK = 1 << 23, 1 << 22
 #: Held-out queries of the calibration, and rows of the rough products made at once.
 HELD_OUT, ROWS = 256, 512
-#: Centroids that a walk keeps in view before it may end.
-WALK = 16
+#: Centroids that a walk keeps in view before it may end, walks side by side, and centroids left at once.
+WALK, WALKERS, STEPS = 16, 512, 4
 
 
 @dataclass
@@ -54,33 +53,65 @@ class CentroidGraph:
     entries: np.ndarray
 
     def within(self, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids within ratio of the nearest distance to x, and at least ``least`` walked to: (ids, squared distances), nearest first.
+        """For each row of x the centroids within ratio of the nearest distance, and at least ``least`` walked to: (ids, squared distances), nearest first.
 
-        The walk starts at the nearest entries and goes on from the nearest centroid not yet left.
+        All rows walk side by side. A walk starts at the nearest entries and leaves the nearest centroid of
+        its pool next, until none that is left could matter. Rows end with distance inf.
         """
-        c = self.centroids
-        d = ((c[self.entries] - x) ** 2).sum(axis=1)
-        begin = np.argsort(d)[:8]
-        seen = dict(zip(self.entries[begin].tolist(), d[begin].tolist()))
-        queue = sorted((e, k) for k, e in seen.items())
-        best, nearest = queue[0][0], sorted(-e for e in seen.values())[-least:]
-        heapq.heapify(nearest)
-        while queue:
-            d, at = heapq.heappop(queue)
-            if d > best * ratio * ratio and len(nearest) >= least and d > -nearest[0]:
+        c, n = self.centroids, len(self.centroids)
+        least = min(least, n)
+        width = min(n, 4 * least)
+        ids, d = np.zeros((len(x), n if width == n else 0), np.int64), np.full((len(x), n if width == n else 0), np.inf)
+        todo = np.arange(len(x))
+        while todo.size:
+            pool, far = self._walk(x[todo], ratio, least, width)
+            if width > ids.shape[1]:
+                ids, d = (np.pad(a, ((0, 0), (0, width - a.shape[1])), constant_values=v) for a, v in ((ids, 0), (d, np.inf)))
+            ids[todo, :width], d[todo, :width] = pool, far
+            # a pool that is full of centroids within the ratio may have lost some
+            todo = todo[(far[:, -1] <= far[:, 0] * ratio * ratio) & (width < n)]
+            width = min(n, 4 * width)
+        return ids, d
+
+    def _walk(self, x: np.ndarray, ratio: float, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        c, n = self.centroids, len(self.centroids)
+        begin = self.entries
+        d = (x**2).sum(axis=1)[:, None] + (c[begin] ** 2).sum(axis=1) - 2 * x @ c[begin].T
+        first = np.argsort(d, axis=1)[:, : min(8, width)]
+        ids = np.zeros((len(x), width), np.int64)
+        far, left = np.full((len(x), width), np.inf), np.zeros((len(x), width), bool)
+        ids[:, : first.shape[1]] = begin[first]
+        far[:, : first.shape[1]] = ((c[ids[:, : first.shape[1]]] - x[:, None]) ** 2).sum(axis=2)
+        seen = np.zeros((len(x), n), bool)
+        np.put_along_axis(seen, ids[:, : first.shape[1]], True, axis=1)
+        rows = np.arange(len(x))
+        while rows.size:
+            f = far[rows]
+            pending = np.where(left[rows], np.inf, f)
+            at = np.argpartition(pending, min(STEPS, width) - 1, axis=1)[:, :STEPS]
+            e = np.take_along_axis(pending, at, axis=1)
+            near = np.partition(f, least - 1, axis=1)[:, least - 1]
+            go = np.isfinite(e) & (e <= np.maximum(f.min(axis=1) * ratio * ratio, near)[:, None])
+            walks = go.any(axis=1)
+            rows, at, go = rows[walks], at[walks], go[walks]
+            if not rows.size:
                 break
-            fresh = [int(k) for k in self.links[at] if int(k) not in seen]
-            if not fresh:
-                continue
-            for k, e in zip(fresh, ((c[fresh] - x) ** 2).sum(axis=1).tolist()):
-                seen[k] = e
-                heapq.heappush(queue, (e, k))
-                best = min(best, e)
-                heapq.heappush(nearest, -e)
-                if len(nearest) > least:
-                    heapq.heappop(nearest)
-        ids = np.array(sorted(seen, key=seen.get))
-        return ids, np.array([seen[k] for k in ids])
+            r = rows[:, None]
+            left[r, at] |= go
+            from_ = ids[r, at]
+            fresh = np.sort(np.where(go[:, :, None], self.links[from_], from_[:, :, None]).reshape(len(rows), -1), axis=1)
+            known = seen[r, fresh]
+            known[:, 1:] |= fresh[:, 1:] == fresh[:, :-1]
+            seen[r, fresh] = True
+            e = np.full(fresh.shape, np.inf)
+            i, j = np.nonzero(~known)
+            e[i, j] = ((c[fresh[i, j]] - x[rows[i]]) ** 2).sum(axis=1)
+            both, all_ids = np.hstack([far[rows], e]), np.hstack([ids[rows], fresh])
+            done = np.hstack([left[rows], known])
+            keep = np.argpartition(both, width - 1, axis=1)[:, :width]
+            far[rows], ids[rows], left[rows] = (np.take_along_axis(a, keep, axis=1) for a in (both, all_ids, done))
+        order = np.argsort(far, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, axis=1), np.take_along_axis(far, order, axis=1)
 
 
 def balanced_lists(sample: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
@@ -123,6 +154,9 @@ def make_graph(centroids: np.ndarray, degree: int = 16) -> CentroidGraph:
         links[i : i + 1024, :near] = np.argsort(d, axis=1)[:, 1 : near + 1]
     links[:, near:] = rng.integers(0, n, (n, 4))
     links[:, -1] = (np.arange(n) + 1) % n
+    # a link that repeats another leads to itself, which a walk has seen
+    repeats = np.array([[k in row[:i] for i, k in enumerate(row)] for row in links.tolist()])
+    links = np.where(repeats, np.arange(n)[:, None], links)
     return CentroidGraph(centroids, links, np.sort(rng.permutation(n)[: 4 * math.isqrt(n)]))
 
 
@@ -157,37 +191,51 @@ class Lists:
         q = q / self.scale
         return np.hstack([q * (math.sqrt(self.top) / np.linalg.norm(q, axis=1, keepdims=True)), np.zeros((len(q), 1))])
 
-    def homes(self, y: np.ndarray) -> np.ndarray:
-        """The lists of one lifted vector: the nearest, and those whose boundary it is close to, in directions that differ."""
-        ids, d = self.graph.within(y, 1.0, WALK)
-        c = self.graph.centroids
-        lines = c[ids[1:]] - c[ids[0]]
-        size = (lines**2).sum(axis=1)
-        taken: list[int] = []
-        # 0 on the boundary between the two lists, 1 at the nearest centroid
-        for k in np.flatnonzero((d[1:] - d[0] <= self.margin * size) & (size > 0))[: 4 * self.copies]:
-            if len(taken) == self.copies - 1:
-                break
-            if all(lines[k] @ lines[t] <= 0.5 * math.sqrt(size[k] * size[t]) for t in taken):
-                taken.append(int(k))
-        return ids[[0, *(t + 1 for t in taken)]].astype(np.int32)
-
-    def probes(self, y: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
-        """The lists of one aimed query: those within the ratio, and beyond it until they hold k candidates. held: vec_ids by list, each counted once."""
-        least = WALK
-        while True:
-            ids, d = self.graph.within(y, self.ratio, least)
-            taken = max(int((d <= d[0] * self.ratio**2).sum()), 1 + int(np.searchsorted(np.cumsum(held[ids]), k + 1)))
-            if taken <= len(ids) or len(ids) == len(held):
-                return ids[:taken].astype(np.int32)
-            least *= 4
+    def homes(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lists of vectors: the nearest, and those whose boundary a vector is close to, in directions that differ."""
+        c, out = self.graph.centroids, []
+        for i in range(0, len(x), WALKERS):
+            ids, d = self.graph.within(self.lifted(x[i : i + WALKERS]), 1.0, WALK)
+            ids, d = ids[:, :WALK], d[:, :WALK]
+            lines = c[ids] - c[ids[:, :1]]
+            size = (lines**2).sum(axis=2)
+            # 0 on the boundary between the two lists, 1 at the nearest centroid
+            close = (d - d[:, :1] <= self.margin * size) & (size > 0) & np.isfinite(d)
+            for own, near, line, norm in zip(ids, close, lines, size):
+                taken: list[int] = []
+                for k in np.flatnonzero(near):
+                    if len(taken) == self.copies - 1:
+                        break
+                    if all(line[k] @ line[t] <= 0.5 * math.sqrt(norm[k] * norm[t]) for t in taken):
+                        taken.append(int(k))
+                out.append(own[[0, *taken]].astype(np.int32))
+        return out
+
+    def probes(self, q: np.ndarray, held: np.ndarray, k: int) -> list[np.ndarray]:
+        """The lists of queries: those within the ratio, and beyond it until they hold k candidates. held: vec_ids by list, each counted once."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(q)
+        todo, least = np.arange(len(q)), WALK
+        while todo.size:
+            short = []
+            for i in range(0, len(todo), WALKERS):
+                at = todo[i : i + WALKERS]
+                ids, d = self.graph.within(self.aimed(q[at]), self.ratio, least)
+                inside = (d <= d[:, :1] * self.ratio**2).sum(axis=1)
+                enough = 1 + (np.cumsum(np.where(np.isfinite(d), held[ids], 0), axis=1) < k + 1).sum(axis=1)
+                for j, n in enumerate(np.maximum(inside, enough)):
+                    found = int(np.isfinite(d[j]).sum())
+                    out[at[j]] = ids[j, : min(n, found)].astype(np.int32)
+                    if n > found and least < len(held):
+                        short.append(at[j])
+            todo, least = np.array(short, np.int64), 4 * least
+        return out
 
     def calibrate(self, sample: np.ndarray, queries: np.ndarray, k: int, recall: float) -> None:
         """Set ratio to the least at which the queries reach the share recall of their k nearest of the sample."""
         if not len(queries) or not len(sample):
             return
         near = np.argpartition(-((queries / self.scale) @ (sample / self.scale).T), min(k, len(sample)) - 1, axis=1)[:, :k]
-        homes = {int(i): self.homes(y) for i, y in zip(np.unique(near), self.lifted(sample[np.unique(near)]))}
+        homes = dict(zip(np.unique(near).tolist(), self.homes(sample[np.unique(near)])))
         c = self.graph.centroids
         aimed = self.aimed(queries)
         d = np.maximum((aimed**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * aimed @ c.T, 0)
@@ -294,7 +342,7 @@ def placed_and_probed(embeddings: DataFrame, queries: DataFrame, k: int, lists:
 
     def to_lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(lists=[made.homes(y) for y in made.lifted(stacked(f.embedding))])
+            yield f.assign(lists=made.homes(stacked(f.embedding)))
 
     kind = f"vec_id long, embedding {embeddings.schema['embedding'].dataType.simpleString()}, lists array<int>"
     placed = materialise(rows.mapInPandas(to_lists, kind))
@@ -304,7 +352,7 @@ def placed_and_probed(embeddings: DataFrame, queries: DataFrame, k: int, lists:
 
     def to_probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(lists=[made.probes(y, held, k) for y in made.aimed(stacked(f.embedding))])
+            yield f.assign(lists=made.probes(stacked(f.embedding), held, k))
 
     return placed, materialise(asked.mapInPandas(to_probes, kind)), dim
 
