@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from wirelark.llm.common import fresh_path, materialise
 
 STEP = 1 << 16
+#: Digests that occur more than once are broadcast up to this number of them (about 100 bytes each).
+MOST_BROADCAST = 500_000
 ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -154,11 +156,28 @@ def read_records(stream: BinaryIO) -> Iterator[tuple]:
         yield uri_page(h["warc-record-id"]), size, digest, h["warc-type"], uri_page(h["warc-refers-to"]) if revisit else None
 
 
-def with_decisions(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, html, revisit, refers_to. Only digests that occur more than once are joined back."""
+def with_decisions(pages: DataFrame, least_bytes: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """page_id, url, html, revisit, refers_to.
+
+    Only digests are shuffled; those that occur more than once are broadcast, and payloads stay where they
+    are read. Where more than ``most_broadcast`` digests repeat, large payloads are joined by digest, the
+    digests of very many pages still by broadcast; small payloads never are.
+    """
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), (F.coalesce(F.octet_length("html"), F.lit(0)) >= least_bytes).alias("large"))
-    shared = rows.where("large").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).where("n > 1").select(F.col("digest").alias("shared"), "kept")
-    joined = rows.join(shared, (F.col("digest") == F.col("shared")) & F.col("large"), "left")
+    counted = rows.where("large").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept"))
+    shared = materialise(counted.where("n > 1"))
+    sizes = shared.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if sizes.digests <= most_broadcast:
+        known = F.broadcast(shared.select(F.col("digest").alias("shared"), "kept"))
+        joined = rows.join(known, (F.col("digest") == F.col("shared")) & F.col("large"), "left")
+    else:
+        heavy = F.col("n") >= max(1000, sizes.rows // 10_000)  # at most 10,000
+        named = shared.select(F.col("digest").alias("shared"), "kept", heavy.alias("heavy"))
+        often = F.broadcast(named.where("heavy").select("shared", "kept"))
+        first = rows.join(often, (F.col("digest") == F.col("shared")) & F.col("large"), "left").drop("shared")
+        done = first.where("kept IS NOT NULL OR NOT large")
+        others = first.where("kept IS NULL AND large").drop("kept").join(named.where("NOT heavy").select("shared", "kept"), F.col("digest") == F.col("shared"), "left")
+        joined = done.unionByName(others.drop("shared"))
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return joined.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
