@@ -447,6 +447,18 @@ def test_warc(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(html), hashlib.sha1(html).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 2) if r.page_id in (1, None) else ("response", None))
     assert warc.round_trip(pages.where("page_id = 99")).count() == 0
+    decisions = [sorted(map(str, warc.with_decisions(pages, 1000, most).collect())) for most in (10, 0)]
+    assert decisions[0] == decisions[1] and len(decisions[0]) == len(rows)
+
+
+def test_large_payload(spark):
+    """A payload of many read steps and inflated buffers comes back whole, after and before others."""
+    random.seed(14)
+    big = "".join(chr(random.randrange(32, 0x2FFF)) for _ in range(2_000_000))
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(["a", big, "b", big, "z" * 3_000_000])], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert [got[i].record_type for i in range(5)] == ["response", "revisit", "response", "response", "response"] and got[1].refers_to == 3
+    assert got[3].payload_digest == got[1].payload_digest == hashlib.sha1(big.encode()).hexdigest() and got[4].payload_bytes == 3_000_000
 
 
 @pytest.mark.parametrize("harm", ["cut", "flip", "digest"])
