@@ -436,6 +436,31 @@ def test_random_tokens_stand_out(spark):
     assert sum(got[i] == "random:4:68" for i in range(50)) >= 45 and not any(got[i] for i in range(100, 150)) and got[200] == ""
 
 
+def test_discoveries_are_mostly_true(spark):
+    """Keys among slugs and joined names of ordinary words: the realised share of false discoveries, and the keys found."""
+    random.seed(15)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = "release notes for the long named version of thing here report data summary index page team user account sample api test build main feature branch fix".split()
+    plain = lambda: ("-" if random.random() < 0.5 else "").join((w.capitalize() if random.random() < 0.5 else w) + (str(random.randrange(99)) if random.random() < 0.3 else "") for w in random.choices(words, k=7))
+    made = [("".join(random.choices(abc, k=40 + 24 * (i % 2))), True) for i in range(200)] + [(plain(), False) for _ in range(1500)]
+    rows = [(i, f"{' '.join(random.choices(words, k=30))} {t} {' '.join(random.choices(words, k=9))}") for i, (t, _) in enumerate(made)]
+    got = {r.doc_id for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"), rate=0.05).where("spans != ''").collect()}
+    false = sum(not made[i][1] for i in got)
+    found = [sum(i in got for i in range(k, 200, 2)) for k in (0, 1)]  # of 40 and of 64 characters
+    assert false <= 0.05 * max(len(got), 1) and found[0] >= 35 and found[1] >= 90
+
+
+def test_null_holds_for_ordinary_tokens():
+    """Of tokens drawn by the model itself about a share p has a p-value of p or less (twice that at most, as drawn)."""
+    rng = np.random.default_rng(16)
+    pairs = np.zeros((63, 63))
+    null = secrets.Null.of(pairs)
+    for band, length in enumerate(secrets.BANDS[:4]):
+        sums = secrets.battery(secrets.ordinary_tokens(pairs, 20_000, length, rng))
+        levels = np.array([null.level(band, x) for x in sums[np.isfinite(sums)]])
+        assert all((levels >= k).mean() <= 2 * 10**-k for k in (1, 2, 3))
+
+
 def test_warc(spark):
     big = "<p>" + "y" * 2000
     rows = [(1, "http://a/ b", big), (2, "u", big), (3, "u", "small"), (4, "u", "small"), (5, None, None), (None, "u", big), (2, "u", big), (6, "u\r\nX: 1", "é" * 600)]
