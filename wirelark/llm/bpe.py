@@ -38,7 +38,11 @@ BLOCK = 128
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    """The class of each code point: letter, number, white space or other."""
+    """The class of each code point: letter, number, white space or other.
+
+    The regex library serves as the table of properties: its Unicode version is that of the libraries to
+    match, while Python's own is older by thousands of letters. No text is searched by it.
+    """
     table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     kinds = ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\p{White_Space}"))
     points = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
@@ -142,26 +146,20 @@ def pre_tokens(texts: list[str]) -> list[list[str]]:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return [[] for _ in texts]
-    heads = np.unique(firsts[:-1][np.diff(firsts) > 0])
+    sizes = np.diff(firsts)
+    heads = firsts[:-1][sizes > 0]
     kinds = classify(points, heads)
-    flags = starts(kinds)
-    if heads.size > 1 or heads[0]:  # each text is scanned from IDLE
-        flags = restart(kinds, flags, heads)
-    at = np.flatnonzero(flags)
+    # a BREAK ahead of each text, so that one scan starts each from IDLE
+    places = np.arange(1, len(kinds) + 1) + np.repeat(np.arange(len(heads)), sizes[sizes > 0])
+    spread = np.full(len(kinds) + len(heads), BREAK, np.uint8)
+    spread[places] = kinds
+    at = np.flatnonzero(starts(spread)[places])
     edges = [*at.tolist(), len(points)]
     words = [joined[a:b] for a, b in zip(edges, edges[1:])]
     split = np.searchsorted(at, firsts).tolist()
     return [words[a:b] for a, b in zip(split, split[1:])]
 
 
-def restart(kinds: np.ndarray, flags: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Mend starts after text heads: rerun with a BREAK ahead of each text, then take the BREAKs out."""
-    spread = np.full(len(kinds) + len(heads), BREAK, np.uint8)
-    places = np.arange(len(kinds)) + np.searchsorted(heads, np.arange(len(kinds)), side="right")
-    spread[places] = kinds
-    return starts(spread)[places]
-
-
 class Vocabulary:
     """Ranks of byte strings, with a bounded cache of merged words as little-endian id bytes."""
 
