@@ -2,9 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wirelark.plans import layers
 
 SF = "/root/testdata/sf0.001"
-NAMES = "flow_tcp_state flow_stats ipv4_header_checksum cidr_math frame_roundtrip_arp pcapng_roundtrip bpf_net_or ipv4_fragment_reassemble tcp_reassembly answers_tcp arp_neighbor_asof cidr_route_lpm dns_answer_parse custom_proto_roundtrip traffic_rollup anon_ports".split()
+NAMES = "flow_tcp_state flow_stats ipv4_header_checksum cidr_math frame_roundtrip_arp pcapng_roundtrip bpf_net_or ipv4_fragment_reassemble tcp_reassembly answers_tcp arp_neighbor_asof cidr_route_lpm dns_answer_parse custom_proto_roundtrip traffic_rollup anon_ports crc16_families hexdump".split() + list(layers.QUERIES)
 
 
 def rows(df):
@@ -16,7 +17,7 @@ def rows(df):
 def duck():
     c = duckdb.connect()
     c.execute("SET TimeZone='UTC'")
-    for t in "nation customer orders lineitem events documents pages conversations".split():
+    for t in "nation customer orders lineitem events documents pages conversations benchmark".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

@@ -84,3 +84,22 @@ def test_tls_hello():
 def test_hkdf_rfc5869_case_1():
     okm = walkers.hkdf_expand(walkers.hkdf_extract(bytes(range(13)), b"\x0b" * 22), bytes(range(0xF0, 0xFA)), 42)
     assert okm.hex().startswith("3cb25f25faacd57a90434f64d0362f2a")
+
+
+def test_crc16_of_batches():
+    """Values of all lengths side by side equal a fold of each byte."""
+    import random
+
+    from wirelark.functions.checksum import crc16_of, reflected_table
+
+    random.seed(3)
+    values = [random.randbytes(random.choice([0, 1, 5, 40, 41, 300])) for _ in range(100)] + [None, random.randbytes(5000)]
+    for poly, init, out in ((0xA001, 0xFFFF, 0), (0xA6BC, 0, 0xFFFF)):
+        table, want = reflected_table(poly).tolist(), []
+        for v in values:
+            c = init
+            for x in v or b"":
+                c = (c >> 8) ^ table[(c ^ x) & 255]
+            want.append(None if v is None else c ^ out)
+        assert crc16_of(values, poly, init, out) == want
+    assert crc16_of([], 0xA001, 0, 0) == [] and crc16_of([b"123456789"], 0xA001, 0xFFFF, 0) == [0x4B37]

@@ -133,22 +133,35 @@ def reflected_table(poly: int) -> np.ndarray:
     return t
 
 
+def crc16_of(values: list[bytes | None], poly: int, init: int, out: int) -> list[int | None]:
+    """A reflected 16-bit CRC of each value: all long enough are folded side by side, the last few one by one."""
+    table = reflected_table(poly)
+    order = sorted((i for i, v in enumerate(values) if v is not None), key=lambda i: -len(values[i]))
+    sizes = np.array([len(values[i]) for i in order], np.int64)
+    flat = np.frombuffer(b"".join(values[i] for i in order), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    c = np.full(len(order), init, np.uint32)
+    at, active = 0, int((sizes > 0).sum())
+    while active >= 16:
+        c[:active] = (c[:active] >> 8) ^ table[(c[:active] ^ flat[begin[:active] + at]) & 0xFF]
+        at += 1
+        active = int(np.searchsorted(-sizes, -at, side="left"))  # those longer than at
+    few, result = table.tolist(), [None] * len(values)
+    for k, i in enumerate(order):
+        x = int(c[k])
+        if k < active:
+            for byte in values[i][at:]:
+                x = (x >> 8) ^ few[(x ^ byte) & 0xFF]
+        result[i] = x ^ out
+    return result
+
+
 def crc16(poly: int, init: int, out: int):
     """Column function of a reflected 16-bit CRC, batched over Arrow."""
 
     def build(b: Column) -> Column:
         def batch(values: pd.Series) -> pd.Series:
-            table = reflected_table(poly).tolist()
-
-            def one(data: bytes | None) -> int | None:
-                if data is None:
-                    return None
-                c = init
-                for x in data:
-                    c = (c >> 8) ^ table[(c ^ x) & 0xFF]
-                return c ^ out
-
-            return pd.Series([one(v) for v in values], dtype="Int64")
+            return pd.Series(crc16_of(values.tolist(), poly, init, out), dtype="Int64")
 
         return F.pandas_udf(batch, "long")(b)
 

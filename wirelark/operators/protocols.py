@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wirelark.functions import detect
-from wirelark.functions.bytesx import bits, ip4_text, ip6_text, lit, mac_text, take, text, uint, uint64, uint_le
+from wirelark.functions.bytesx import bits, ip4_text, ip6_text, let, lit, mac_text, take, text, uint, uint64, uint_le
 from wirelark.functions.net import TFTP_OPS, flags_text, mqtt_length, named, quic_varint
 
 __all__ = ["PROTOCOLS", "flags_text"]
@@ -255,15 +255,15 @@ def mqttsn(b: Column, _) -> Column:
 def quic(b: Column, _) -> Column:
     first = uint(b, 0)
     long = bit(first, 7)
-    dlen = F.when(long, uint(b, 5))
-    slen_at = 6 + dlen
-    slen = F.when(long, uint(b, slen_at))
     kind = F.when(long, bits(first, 4, 2))
-    after = slen_at + 1 + slen
-    token = F.when(kind == 0, quic_varint(b, after).cast("int"))
-    token_size = F.when(kind == 0, F.pow(F.lit(2), F.shiftright(uint(b, after), 6)).cast("int"))
-    length_at = F.when(kind == 0, after + token_size + token).otherwise(after)
-    return struct(header_form=bits(first, 7, 1), fixed_bit=bits(first, 6, 1), packet_type=F.when(long, bits(first, 4, 2)).otherwise(F.lit(-1)), version=F.when(long, uint(b, 1, 4)), long_packet_type=kind, packet_number_len=bits(first, 0, 2) + 1, dst_conn_id_len=dlen, src_conn_id_len=slen, dst_conn_id=take(b, 6, dlen), src_conn_id=take(b, slen_at + 1, slen), length=F.when(kind != 3, quic_varint(b, length_at)))
+    dlen = F.when(long, uint(b, 5))
+
+    def fields(slen_at: Column, after: Column) -> Column:
+        """slen_at: of the source id's length; after: behind that id. Both are worked out once, as much hangs on them."""
+        size = F.when(kind == 0, F.pow(F.lit(2), F.shiftright(uint(b, after), 6)).cast("int") + quic_varint(b, after).cast("int")).otherwise(0)
+        return struct(header_form=bits(first, 7, 1), fixed_bit=bits(first, 6, 1), packet_type=F.when(long, bits(first, 4, 2)).otherwise(F.lit(-1)), version=F.when(long, uint(b, 1, 4)), long_packet_type=kind, packet_number_len=bits(first, 0, 2) + 1, dst_conn_id_len=dlen, src_conn_id_len=F.when(long, uint(b, slen_at)), dst_conn_id=take(b, 6, dlen), src_conn_id=take(b, slen_at + 1, F.when(long, uint(b, slen_at))), length=F.when(kind != 3, let(after + size, lambda at: quic_varint(b, at))))
+
+    return let((6 + dlen).cast("int"), lambda s: let((s + 1 + F.when(long, uint(b, s))).cast("int"), lambda after: fields(s, after)))
 
 
 def s7comm(b: Column, _) -> Column:

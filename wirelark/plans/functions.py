@@ -58,7 +58,18 @@ def checksum_incremental(spark, sf):
     return d.select("event_id", (ck.incremental_update(c, old, old - 256) == ck.ipv4_checksum(changed)).alias("same"), (ck.incremental_update_32(c, F.col("src_ip"), F.col("dst_ip")) == ck.ipv4_checksum(moved)).alias("same32"))
 
 
-@query(QUERIES, None)
+def crc_sql(poly: int, init: int, out: int) -> str:
+    """A reflected 16-bit CRC of the byte list l: a fold over the table that the polynomial gives."""
+    table = ck.reflected_table(poly).tolist()
+    return f"xor(list_reduce(l, lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1]::BIGINT), {init}::BIGINT), {out}::BIGINT)"
+
+
+BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::BIGINT)"
+#: A CRC-32 is a fold as well, of 32 bits.
+CRC32 = f"xor(list_reduce(l, lambda c, x: xor(c >> 8, {ck.reflected_table(0xEDB88320).tolist()}[(xor(c, x) & 255) + 1]::BIGINT), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+@query(QUERIES, f"SELECT doc_id, {crc_sql(0xA001, 0xFFFF, 0)} AS modbus, {crc_sql(0x8408, 0, 0)} AS kermit, {crc_sql(0xA6BC, 0, 0xFFFF)} AS dnp3, {CRC32} AS crc32 FROM (SELECT doc_id, {BYTES} AS l FROM documents)")
 def crc16_families(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     b = F.col("text").cast("binary")
@@ -149,7 +160,10 @@ def hex_roundtrip(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", B.hexstr(b).alias("hexed"), (B.parse_hex(B.hexstr(b, ":")) == b).alias("same"))
 
 
-@query(QUERIES, None)
+LINE = "lpad(lower(hex(i * 16)), 4, '0') || '  ' || rpad(lower(list_aggregate(l[16 * i + 1 : 16 * i + 16], 'string_agg', ' ')), 47, ' ') || '  ' || list_aggregate(list_transform(l[16 * i + 1 : 16 * i + 16], lambda h: CASE WHEN h BETWEEN '20' AND '7E' THEN chr((instr('0123456789ABCDEF', h[1]) - 1)::INT * 16 + instr('0123456789ABCDEF', h[2])::INT - 1) ELSE '.' END), 'string_agg', '')"
+
+
+@query(QUERIES, f"SELECT item_id, coalesce(list_aggregate(list_transform(range((len(l) + 15) // 16), lambda i: {LINE}), 'string_agg', chr(10)), '') AS dump FROM (SELECT item_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM benchmark)")
 def hexdump(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", B.hexdump(F.col("text").cast("binary")).alias("dump"))
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelark.plans import flows, frames, functions, relational
+from wirelark.plans import flows, frames, functions, layers, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for area in (functions, frames, flows, relational) for name, (q, _) in area.QUERIES.items()}
+    return {name: q for area in (functions, frames, layers, flows, relational) for name, (q, _) in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for area in (functions, frames, flows, relational) for name, (_, sql) in area.QUERIES.items() if sql}
+    return {name: sql for area in (functions, frames, layers, flows, relational) for name, (_, sql) in area.QUERIES.items() if sql}

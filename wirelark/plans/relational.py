@@ -51,11 +51,3 @@ def port_users(spark, sf):
 def par_count(spark, sf):
     p = derived.packets(spark, sf)
     return p.agg(F.count_if(F.col("flags") == 2).alias("syn"), F.count_if(F.col("pay") + 54 > 200).alias("large"), F.count("*").alias("packets"))
-
-
-@query(QUERIES, packets_sql("SELECT CASE upper_port WHEN 80 THEN 'http' WHEN 443 THEN 'https' WHEN 22 THEN 'ssh' ELSE 'other' END AS upper, count(*) AS packets FROM (SELECT b_port AS upper_port FROM p) GROUP BY 1"))
-def layer_bindings(spark, sf):
-    """Upper layers by a bindings dimension (lower, field, value, upper)."""
-    dim = spark.createDataFrame([("tcp", "dport", 80, "http"), ("tcp", "dport", 443, "https"), ("tcp", "dport", 22, "ssh")], "lower string, field string, value int, upper string")
-    p = derived.packets(spark, sf)
-    return p.join(F.broadcast(dim), p.b_port == dim.value, "left").groupBy(F.coalesce("upper", F.lit("other")).alias("upper")).agg(F.count("*").alias("packets"))
