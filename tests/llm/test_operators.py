@@ -305,6 +305,16 @@ def test_simhash_shards_lose_no_link(spark, bits, per_shard):
     assert len({(a, b) for a, b in zip(got, want.tolist())}) == len(set(got)) == len(set(want.tolist()))
 
 
+def test_joins_beyond_what_is_broadcast(spark):
+    """Hot and other keys of a table too large to broadcast join as they would otherwise."""
+    from wirelark.llm.common import join_spread
+
+    left = spark.range(6000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    got = [sorted(map(tuple, join_spread(left, right, ["k"], 6000, most).select("k", "id", "m").collect())) for most in (10**6, 0)]
+    assert got[0] == got[1] and len(got[0]) == 6000
+
+
 def test_dedup_keeps_one_of_each_group(spark, odd):
     random.seed(6)
     text = [f"w{random.randrange(10**6)}" for _ in range(300)]

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelark.llm.common import text_batches
+
 #: Classes of code points, after a look at the next one or two.
 LETTER, NUMBER, OTHER, SPACE, SPACE_LAST, BLANK, BLANK_LAST, SHORT, LONG, BREAK = range(10)
 #: States: nothing open, an open run of letters, numbers, others or white space, a space that joins
@@ -267,7 +269,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"ids": [i.astype(np.int32) for i in ids], "offsets": [v.offsets(i) for i in ids], "decoded": [v.decode(i) for i in ids]})
 
     made = F.pandas_udf(batches, "ids array<int>, offsets array<long>, decoded binary")("text")
-    return docs.select("doc_id", made.alias("x")).select("doc_id", "x.*")
+    return text_batches(docs).select("doc_id", made.alias("x")).select("doc_id", "x.*")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -280,4 +282,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"n_tokens": [len(i) for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(v.decode(i)).hexdigest() for i in ids]})
 
     made = F.pandas_udf(batches, "n_tokens long, ids_sha256 string, decoded_sha256 string")("text")
-    return docs.select("doc_id", made.alias("x")).select("doc_id", "x.*")
+    return text_batches(docs).select("doc_id", made.alias("x")).select("doc_id", "x.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wirelark.llm.common import materialise
+from wirelark.llm.common import materialise, text_batches
 from wirelark.llm.tokencount import byte_symbols
 
 #: A length is numbered in parts of SMALL_PART pieces, in up to PARTS of them, and in more parts only of LARGE_PART
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int
             columns = [t.column("doc_id").take(pa.array(of, pa.int64())), pa.array(made[0], pa.int32()), *map(pa.array, made[1:])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, PIECES)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, PIECES)
 
 
 class Plan:

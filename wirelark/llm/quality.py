@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import WORD, materialise
+from wirelark.llm.common import WORD, materialise, text_batches
 
 WINDOW = 8
 LEVELS = 256
@@ -220,7 +220,7 @@ def judged(stats: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def with_stats(docs: DataFrame) -> DataFrame:
     """docs with the columns of STAT_SCHEMA added."""
-    return docs.withColumn("_s", F.pandas_udf(stat_batches, STAT_SCHEMA)("text")).select(*(docs[c] for c in docs.columns), "_s.*")
+    return text_batches(docs).withColumn("_s", F.pandas_udf(stat_batches, STAT_SCHEMA)("text")).select(*(docs[c] for c in docs.columns), "_s.*")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import materialise
+from wirelark.llm.common import materialise, text_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -133,7 +133,7 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    made = docs.select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    made = text_batches(docs).select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(width * width)
     for r in made.collect():  # a row for each pair of characters, 3,969 at most
         out[r.cell] = r.n
@@ -242,7 +242,7 @@ def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     def scan(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from scan_batches(frames, null)
 
-    found = materialise(docs.select("doc_id", F.pandas_udf(scan, SCHEMA)("text").alias("x")).select("doc_id", "x.*"))
+    found = materialise(text_batches(docs).select("doc_id", F.pandas_udf(scan, SCHEMA)("text").alias("x")).select("doc_id", "x.*"))
     levels = discovery_levels(found, rate)
     passed = lambda x: F.exists(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(v).alias("level")) for b, v in levels.items())), lambda c: (c.band == x.band) & (x.level >= c.level)) if levels else F.lit(False)
     more = F.transform(F.filter("more", passed), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.stop.alias("stop")))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import WORD_BYTES, join_spread, materialise
+from wirelark.llm.common import WORD_BYTES, join_spread, materialise, text_batches
 
 BITS = 64
 CHUNK = 1 << 16
@@ -74,7 +74,7 @@ def with_fingerprints(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (4
             yield pd.DataFrame([fingerprint(t, shingle, seeds) for t in batch], columns=names, dtype="int64")
 
     made = F.pandas_udf(batches, ", ".join(f"{c} long" for c in names))("text")
-    return docs.withColumn("_p", made).select(*(docs[c] for c in docs.columns), "_p.*")
+    return text_batches(docs).withColumn("_p", made).select(*(docs[c] for c in docs.columns), "_p.*")
 
 
 @dataclass

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelark.llm.common import text_batches
+
 CACHE_WORDS = 400_000
 
 
@@ -105,5 +107,5 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
         for texts in frames:
             yield pd.Series([c.count(t or "") for t in texts], dtype="int64")
 
-    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.pandas_udf(batches, "long")("text").alias("n_tokens"))
+    counted = text_batches(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.pandas_udf(batches, "long")("text").alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

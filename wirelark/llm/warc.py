@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import fresh_path, materialise
+from wirelark.llm.common import fresh_path, materialise, text_batches
 
 STEP = 1 << 16
 #: Digests that occur more than once are broadcast up to this number of them (about 100 bytes each).
@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, archi
             yield pd.DataFrame({"archive": [name], "records": [count]})
 
     # Page numbers go as decimals: pandas would turn a column with nulls into floats.
-    rows = with_decisions(pages, least_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    rows = with_decisions(text_batches(pages), least_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return materialise(rows.mapInPandas(write, MANIFEST))
 
 
