@@ -152,7 +152,7 @@ def hash_u64(data: Column, salt: bytes) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(bytearray(salt)), data), 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def anonymize_flows(flows: DataFrame, policy: Policy) -> DataFrame:
+def anonymize_flows(flows: DataFrame, policy: Policy, ordered: bool = True) -> DataFrame:
     """Conversations under a policy: addresses, ports, times, sequence numbers, payloads, in this order. Rows keep their order columns."""
     out = flows
     if policy.ip_mode == "crypto_pan":
@@ -160,7 +160,8 @@ def anonymize_flows(flows: DataFrame, policy: Policy) -> DataFrame:
     out = anonymize_times(anonymize_ports(out, policy.port_mode), policy)
     if policy.tcp_seq_mode == "random_offset":
         out = anonymize_sequences(out, policy.seed)
-    return anonymize_payloads(out, policy).orderBy("start_ns", "first_index")
+    out = anonymize_payloads(out, policy)
+    return out.orderBy("start_ns", "first_index") if ordered else out
 
 
 def anonymize_packets(df: DataFrame, policy: Policy, frame: str = "frame") -> DataFrame:

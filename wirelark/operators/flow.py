@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wirelark.functions.bytesx import ip_text, take
 from wirelark.functions.net import flag
 from wirelark.operators.dissect import dissect
+from wirelark.shared import written
 
 STATES = "LISTEN SYN_SENT SYN_RCVD ESTABLISHED FIN_WAIT_1 FIN_WAIT_2 CLOSE_WAIT CLOSING LAST_ACK TIME_WAIT CLOSED".split()
 KEY = ["addr_a", "port_a", "addr_b", "port_b", "protocol"]
@@ -32,6 +33,7 @@ class FlowConfig:
     track_max_packet_len: bool = False
     track_max_flow_len: bool = False
     packet_indices: bool = True
+    ordered: bool = True
     reassemble: bool = False
     on_unparsed: str = "skip"
     compat_icmpv6: bool = False
@@ -100,15 +102,15 @@ def packets(df: DataFrame, frame: str = "frame", on_unparsed: str = "skip") -> D
 
 
 def tcp_states(p: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """KEY, tcp_state of the TCP flows of packets()."""
+    """KEY, tcp_state and tcp_packets of the TCP flows of packets()."""
     table = transitions()
     own = p.where("protocol = 'TCP'").select(*KEY, "packet_index", symbol(F.col("flags"), F.col("forward")).alias("sym"), F.floor(F.col("packet_index") / stretch).alias("stretch"))
     start = F.array(*map(F.lit, range(len(STATES))))
     folded = own.groupBy(*KEY, "stretch").agg(F.array_sort(F.collect_list(F.struct("packet_index", "sym"))).alias("xs"))
-    moves = folded.select(*KEY, "stretch", F.aggregate("xs", start, lambda acc, x: F.transform(acc, lambda s: F.get(table, s * 32 + x["sym"]))).alias("moves"))
-    whole = moves.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("stretch", "moves"))).alias("ms"))
+    moves = folded.select(*KEY, "stretch", F.size("xs").cast("bigint").alias("n"), F.aggregate("xs", start, lambda acc, x: F.transform(acc, lambda s: F.get(table, s * 32 + x["sym"]))).alias("moves"))
+    whole = moves.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("stretch", "moves"))).alias("ms"), F.sum("n").alias("tcp_packets"))
     last = F.aggregate("ms", F.lit(0), lambda s, m: F.get(m["moves"], s))
-    return whole.select(*KEY, F.get(F.array(*map(F.lit, STATES)), last).alias("tcp_state"))
+    return whole.select(*KEY, F.get(F.array(*map(F.lit, STATES)), last).alias("tcp_state"), "tcp_packets")
 
 
 def endpoints(p: DataFrame) -> DataFrame:
@@ -165,12 +167,15 @@ def flow_stats(p: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:
 
 
 def conversations(df: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:
-    """All flows of packets (packet_index, ts_ns, frame) with the public columns, ordered by start and first packet."""
+    """All flows of packets (packet_index, ts_ns, frame) with the public columns, ordered by start and first packet unless the config leaves that to the sink.
+
+    Packets are dissected once: what flows need of them is written, without payloads, and read for each fold.
+    """
     from wirelark.operators.reassembly import tcp_streams
 
     p = packets(df, on_unparsed=config.on_unparsed)
-    stats = flow_stats(p, config)
-    out = stats.join(tcp_states(p), KEY, "left")
+    slim = written(p.drop("payload"))
+    out = flow_stats(slim, config).join(tcp_states(slim), KEY, "left")
     if config.reassemble:
         out = out.join(tcp_streams(p, config), KEY, "left")
     else:
@@ -180,14 +185,15 @@ def conversations(df: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame
     dropped = [F.when(tcp, F.coalesce(f"dropped_segments_{d}", F.lit(0))) for d in ("fwd", "rev")]
     is_icmp = F.col("protocol").isin("ICMP", "ICMPv6")
     none = lambda t: F.lit(None).cast(t)
-    return out.select(
+    rows = out.select(
         ip_text(F.col("addr_a")).alias("src_addr"), ip_text(F.col("addr_b")).alias("dst_addr"), F.col("port_a").alias("src_port"), F.col("port_b").alias("dst_port"), F.when(F.col("protocol").startswith("Other"), "Other").otherwise(F.col("protocol")).alias("protocol"),
         status_of(F.col("tcp_state")).alias("status"), (F.col("start_ns") / 1e9).alias("start_time"), (F.greatest(F.lit(0), F.col("last_ns") - F.col("start_ns")) / 1e9).alias("duration"),
         "forward_packets", "reverse_packets", "forward_bytes", "reverse_bytes", "total_packets", "total_bytes", "forward_max_packet_len", "reverse_max_packet_len", "max_flow_len", *(["packet_indices"] if config.packet_indices else []), "tcp_state",
         (dropped[0] + dropped[1]).alias("dropped_segments"), dropped[0].alias("dropped_segments_fwd"), dropped[1].alias("dropped_segments_rev"), none("bigint").alias("zwave_home_id"), none("bigint").alias("zwave_command_count"), none("bigint").alias("zwave_ack_count"),
         "icmp_type", "icmp_code", "icmp_identifier", F.when(is_icmp, F.col("icmp_request_count")).alias("icmp_request_count"), F.when(is_icmp, F.col("icmp_reply_count")).alias("icmp_reply_count"), "icmp_last_seq", "reassembled_forward", "reassembled_reverse",
         "start_ns", "last_ns", "forward_last_ns", "reverse_last_ns", "first_index", none("int").alias("vlan_id"), "addr_a", "addr_b",
-    ).orderBy("start_ns", "first_index")
+    )
+    return rows.orderBy("start_ns", "first_index") if config.ordered else rows
 
 
 def extract_flows(spark, path: str, config: FlowConfig = FlowConfig(), anonymization=None) -> DataFrame:
@@ -196,7 +202,7 @@ def extract_flows(spark, path: str, config: FlowConfig = FlowConfig(), anonymiza
     from wirelark.sources.pcap import read_capture
 
     found = conversations(read_capture(spark, path), config)
-    return found if anonymization is None else anonymize_flows(found, anonymization)
+    return found if anonymization is None else anonymize_flows(found, anonymization, config.ordered)
 
 
 def extract_flows_from_packets(df: DataFrame, config: FlowConfig = FlowConfig(), anonymization=None) -> DataFrame:
@@ -204,7 +210,7 @@ def extract_flows_from_packets(df: DataFrame, config: FlowConfig = FlowConfig(),
     from wirelark.operators.anonymize import anonymize_flows
 
     found = conversations(df.withColumn("ts_ns", F.col("packet_index") * F.lit(1_000_000_000)), config)
-    return found if anonymization is None else anonymize_flows(found, anonymization)
+    return found if anonymization is None else anonymize_flows(found, anonymization, config.ordered)
 
 
 def timeout_ns(protocol: Column, tcp_state: Column, config: FlowConfig = FlowConfig()) -> Column:

@@ -48,27 +48,24 @@ def icmp_answers() -> Column:
     return reply
 
 
-
-
-def rules(protocol: str) -> tuple[list[tuple[str, str]], Column]:
-    """Join columns (request, reply) and the residual predicate of a protocol."""
+def rules(protocol: str) -> tuple[list[tuple[str, str]], Column | None]:
+    """Join columns (request, reply) and the residual predicate of a protocol; None where the columns say all."""
     swap = [("src", "dst"), ("dst", "src")]
     ports = [("sport", "dport"), ("dport", "sport")]
-    true = F.lit(True)
     table = {
-        "ethernet": ([("type", "type")], true),
+        "ethernet": ([("type", "type")], None),
         "arp": ([("hwtype", "hwtype"), ("ptype", "ptype"), ("pdst", "psrc")], arp_answers()),
-        "ipv4": ([*swap, ("proto", "proto")], true),
-        "ipv6": ([*swap, ("nh", "nh")], true),
+        "ipv4": ([*swap, ("proto", "proto")], None),
+        "ipv6": ([*swap, ("nh", "nh")], None),
         "tcp": ([*swap, *ports], tcp_answers()),
-        "udp": ([*swap, ("sport", "dport")], true),
+        "udp": ([*swap, ("sport", "dport")], None),
         "icmp": ([*swap, ("id", "id"), ("seq", "seq")], icmp_answers()),
         "icmpv6": ([*swap, ("id", "id"), ("seq", "seq")], (req("type") == 128) & (rep("type") == 129)),
-        "dns": ([*swap, *ports, ("dns_id", "dns_id")], true),
+        "dns": ([*swap, *ports, ("dns_id", "dns_id")], None),
         "dot15d4": ([("seqnum", "seqnum")], req("ackreq") & (rep("frametype") == 2)),
         "dot11": ([("addr1", "addr2"), ("addr2", "addr1")], req("subtype").isin(0, 2, 4) & (rep("subtype") == req("subtype") + 1) | (req("subtype") == 11) & (rep("subtype") == 11)),
-        "zwave": ([("home_id", "home_id"), ("src", "dst"), ("dst", "src")], true),
-        "raw": ([("load", "load")], true),
+        "zwave": ([("home_id", "home_id"), ("src", "dst"), ("dst", "src")], None),
+        "raw": ([("load", "load")], None),
     }
     if protocol not in table:
         raise ValueError(f"no pairing for {protocol}")
@@ -79,22 +76,36 @@ def answers(requests: DataFrame, replies: DataFrame, protocol: str) -> DataFrame
     """All (req, rep) struct pairs of which the reply answers the request."""
     keys, residual = rules(protocol)
     a = requests.select(F.struct("*").alias("req"), *(F.col(x).alias(f"_k{i}") for i, (x, _) in enumerate(keys)))
+    residual = F.lit(True) if residual is None else residual
     b = replies.select(F.struct("*").alias("rep"), *(F.col(y).alias(f"_k{i}") for i, (_, y) in enumerate(keys)))
     return a.join(b, [f"_k{i}" for i in range(len(keys))]).where(residual).select("req", "rep")
 
 
 def pair(packets: DataFrame, protocol: str, order: str = "packet_index") -> DataFrame:
-    """Each request with the earliest reply after it."""
+    """Each request with the earliest reply after it.
+
+    Where the keys say all, one sort of requests and replies does; else the pairs of a key are met and filtered.
+    """
+    keys, residual = rules(protocol)
+    if residual is None:
+        names = [f"_k{i}" for i in range(len(keys))]
+        side = lambda i: packets.select(*(F.col(k[i]).alias(n) for n, k in zip(names, keys)), F.col(order).alias("at")).dropna(subset=names)
+        found = first_after(side(0), side(1), names, "at", strictly=True).where("reply_at is not null")
+        return found.select(F.col("at").alias("request_index"), F.col("reply_at").alias("reply_index"))
     both = answers(packets, packets, protocol).where(rep(order) > req(order))
     first = both.groupBy(req(order).alias("request_index")).agg(F.min(rep(order)).alias("reply_index"))
     return first
 
 
-def first_after(requests: DataFrame, replies: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """requests with reply_<order>: the next later reply of the same keys, by one sort instead of a join."""
+def first_after(requests: DataFrame, replies: DataFrame, keys: list[str], order: str, strictly: bool = False) -> DataFrame:
+    """requests with reply_<order>: the next later reply of the same keys, by one sort instead of a join.
+
+    Rows run backwards, so the reply last seen is the next one, and each row is looked at once. A reply of the
+    same order counts as later unless strictly.
+    """
     both = requests.select(*keys, F.col(order), F.lit(True).alias("asks")).unionByName(replies.select(*keys, F.col(order), F.lit(False).alias("asks")))
-    w = Window.partitionBy(*keys).orderBy(order, F.col("asks").desc()).rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn(f"reply_{order}", F.min(F.when(~F.col("asks"), F.col(order))).over(w)).where("asks").drop("asks")
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col("asks").desc() if strictly else F.col("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(f"reply_{order}", F.last(F.when(~F.col("asks"), F.col(order)), ignorenulls=True).over(w)).where("asks").drop("asks")
 
 
 def neighbours_asof(packets: DataFrame, arp_replies: DataFrame, ttl_ns: int = 120_000_000_000) -> DataFrame:

@@ -35,9 +35,7 @@ def named(df):
 @query(QUERIES, packets_sql(f"SELECT {SRC}, {DST}, pa AS src_port, pb AS dst_port, {STATE_NAMES}[{FSM} + 1] AS tcp_state, count(*) AS total_packets FROM k GROUP BY ka, kb, pa, pb", K))
 def flow_tcp_state(spark, sf):
     """Flagship: frames are synthesised, dissected, keyed and folded to conversations with their TCP states."""
-    p = tcp(spark, sf)
-    counts = p.groupBy(*flow.KEY).agg(F.count("*").alias("total_packets"))
-    return named(flow.tcp_states(p).join(counts, flow.KEY)).select("src_addr", "dst_addr", "src_port", "dst_port", "tcp_state", "total_packets")
+    return named(flow.tcp_states(tcp(spark, sf))).withColumnRenamed("tcp_packets", "total_packets").select("src_addr", "dst_addr", "src_port", "dst_port", "tcp_state", "total_packets")
 
 
 @query(QUERIES, packets_sql(f"""SELECT {SRC}, {DST}, pa AS src_port, pb AS dst_port, count(*) AS total_packets, CAST(sum(len) AS BIGINT) AS total_bytes, arg_min(ts_ns, packet_index) AS start_ns, arg_max(ts_ns, packet_index) AS last_ns,
@@ -76,7 +74,7 @@ def extract_flows_file(spark, sf):
 
     path = folder(spark)
     pcap.write_capture(derived.plain_tcp_frames(spark, sf).select("packet_index", "ts_ns", "frame"), path, "pcap", single=True)
-    c = flow.extract_flows(spark, path, flow.FlowConfig(packet_indices=False))
+    c = flow.extract_flows(spark, path, flow.FlowConfig(packet_indices=False, ordered=False))
     return c.select("src_addr", "dst_addr", "src_port", "dst_port", "status", "total_packets", F.floor(F.greatest(F.lit(0), F.col("last_ns") - F.col("start_ns")) / 1000).alias("duration_us"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folder of each application, made on first use and removed when its JVM ends.
 _runs: dict[str, str] = {}
@@ -38,6 +38,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df through a table of this run, for what is read more than once and dear to make."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of this run ahead of its end."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
