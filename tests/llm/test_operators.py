@@ -72,6 +72,19 @@ def test_quality_guarantee(spark):
     assert sum(bad) == 0 and sum(good) >= 0.98 * len(good)
 
 
+def test_cutoffs_hold_their_risk():
+    """Over 200 holdouts drawn alike, the certified cutoff rejects more than the risk of all good documents no oftener than the level says."""
+    rng = np.random.default_rng(18)
+    chance = 0.97 ** np.arange(256)[::-1] + 0.002
+    good_p = chance[::-1] / chance.sum()
+    worse = 0
+    for _ in range(200):
+        good, bad = rng.multinomial(500, good_p), rng.multinomial(200, np.full(256, 1 / 256))
+        cut = quality.certified_cutoff(good, bad, 0.02, 0.05, 1.0)
+        worse += good_p[cut + 1 :].sum() > 0.02
+    assert worse <= 0.05 * 200 + 3 * math.sqrt(0.05 * 0.95 * 200)
+
+
 def test_quality_by_stratum(spark):
     """320 good labels certify cutoffs of their own; 100 don't, and another language's cutoffs don't apply there."""
     random.seed(12)
@@ -188,6 +201,33 @@ def test_sharding(spark, docs, odd, empty):
     assert sharding.sharded(empty, tree).count() == 0
 
 
+def test_shards_are_the_least_draws(spark):
+    """The descent, computed once more from the hashes of key and child."""
+    import struct
+
+    import xxhash
+
+    tree = sharding.HashTree.even(2, 2, 2).reweighted(3, 2.5)
+
+    def weight(node):
+        return float(node[1]) if isinstance(node[0], int) else sum(map(weight, node))
+
+    def least(key, nodes, names):
+        draws = []
+        for node, name in zip(nodes, names):
+            h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+            draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / weight(node), node))
+        return min(draws, key=lambda d: d[0])[1]
+
+    def shard(key, regions):
+        region = least(key, regions, [f"0:{i}" for i in range(len(regions))])
+        rack = least(key, region, [f"1:{regions.index(region)}.{i}" for i in range(len(region))])
+        return least(key, rack, [f"2:{s}" for s, _ in rack])[0]
+
+    rows = spark.range(-500, 500).select("id", tree.shard_of(F.col("id")).alias("s"), tree.with_shard(2.0).shard_of(F.col("id")).alias("g")).collect()
+    assert all(r.s == shard(r.id, tree.regions) and r.g == shard(r.id, tree.with_shard(2.0).regions) for r in rows)
+
+
 def test_reweighting_moves_within_its_subtree(spark):
     tree = sharding.HashTree.even(2, 2, 2)
     r = spark.range(4000).select(tree.shard_of(F.col("id")).alias("a"), tree.reweighted(5, 3.0).shard_of(F.col("id")).alias("b")).where("a != b").collect()
@@ -527,3 +567,36 @@ def test_pipeline(spark, odd, empty, tmp_path):
     rows = pipe.run(spark, SF).collect()
     kept = {r.doc_id for r in rows}
     assert 0 < len(kept) < 200 and max(r.length for r in rows) <= 2048
+
+
+COLUMNS = {
+    "op1_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op3_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op4_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op5_simhash": "doc_id fingerprint component_id",
+    "op6_tokencount": "doc_id n_bytes n_tokens over_limit",
+    "op8_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_registered_queries(spark, docs, name):
+    """The queries as registered: their columns, a row for each document, and what brute force gives."""
+    from wirelark.llm import queries
+
+    out = queries.queries()[name](spark, SF)
+    rows, texts = out.collect(), {r.doc_id: r.text or "" for r in docs.collect()}
+    assert out.columns == COLUMNS[name].split() and sorted(r.doc_id for r in rows) == sorted(texts)
+    lib, enc = Tokenizer.from_file(JSON), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.vocabulary(MULTI).ranks, special_tokens={})
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    holds = {
+        "op1_quality": lambda r, t: tuple(r)[1:6] == brute_stats(t) and r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept),
+        "op3_sharding": lambda r, t: (r["size"], r.text_crc32, r.law) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "key") and r.grown_shard in (r.shard, 8),
+        "op4_pii": lambda r, t: r.base_sha256 == digest(brute_pii(t).encode()) and set(filter(None, brute_pii(t).split(","))) <= set(r.spans.split(",")),
+        "op5_simhash": lambda r, t: len(r.fingerprint) == 16 and r.component_id <= r.doc_id,
+        "op6_tokencount": lambda r, t: (r.n_bytes, r.n_tokens) == (len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)),
+        "op8_secrets": lambda r, t: r.base_sha256 == digest(brute_secrets(t).encode()) and set(filter(None, brute_secrets(t).split(","))) <= set(r.spans.split(",")),
+        "op10_bpe": lambda r, t: (r.ids_sha256, r.decoded_sha256) == (digest(np.array(enc.encode_ordinary(t), "<u4").tobytes()), digest(t.encode())),
+    }[name]
+    assert all(holds(r, texts[r.doc_id]) for r in rows)
