@@ -15,22 +15,25 @@ from wirelark.shared import remove
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that no quality rule rejects."""
+    """Keep the documents that no quality rule rejects. Null and empty texts are rejected; a repeated row is judged each time alike."""
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
+    """Keep one document of each near-duplicate group, that of least doc_id: five-word shingles, similarity of 0.8 or more.
+
+    Empty texts are one group. Rows that repeat a kept document go; rows without doc_id stay.
+    """
     return simhash.deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind."""
+    """Replace personal data by its kind, as [EMAIL]; n_chars follows. No row goes; null texts stay null."""
     return pii.redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of at most 2048 tokens; one row per piece."""
+    """Pack all documents into sequences of at most 2048 tokens; one row per piece. A null or empty text is one piece, of its end token."""
     return packing.pack(docs, tokenizer_files.path("byte_bpe_50k.json"), tokenizer_files.PATTERN, capacity=2048, end_id=0)
 
 
