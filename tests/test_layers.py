@@ -81,3 +81,29 @@ def test_bindings(spark):
     rows = spark.range(1).select(b.next_layer("UDP", "dport", F.lit(53)).alias("a"), b.next_layer("UDP", "dport", F.lit(54)).alias("c")).first()
     assert (rows.a, rows.c) == ("DNS", None)
     assert b.dimension(spark).where("lower = 'TCP' AND value = 9").first().upper == "HTTP"
+
+
+def test_builders_are_read_back(spark):
+    from pyspark.sql import functions as F
+
+    from wirelark.functions import bytesx as B
+    from wirelark.operators import build
+    from wirelark.operators import dissect as dis
+    from wirelark.operators import flow
+
+    over = lambda body, port: build.ethernet(build.ipv4(build.tcp(body, 1, 2, 40000, port, flags=24, with_checksum=False), 1, 2, 6))
+    one = spark.range(1).select(over(build.text_line("USER", F.lit("ann")), 21).alias("frame"))
+    r = dis.dissect(one, ["ftp"]).select("ftp.command", "ftp.args").first()
+    assert (r.command, r.args) == ("USER", "ann")
+    r = dis.dissect(spark.range(1).select(over(build.text_reply(250, F.lit("ok"), more=True), 25).alias("frame")), ["smtp"]).select("smtp.reply_code", "smtp.is_multiline").first()
+    assert (r.reply_code, r.is_multiline) == (250, True)
+    radio = spark.range(1).select(build.dot15d4_data(0x1234, 1, 7, F.lit(bytearray(b"x")), seq=9).alias("frame"))
+    r = dis.dissect(radio, ["dot15d4"], root="dot15d4").select("dot15d4.seqnum", "dot15d4.dest_panid", "dot15d4.src_addr_short").first()
+    assert tuple(r) == (9, 0x1234, 7)
+    mac = lambda x: B.raw("0200000000" + x)
+    r = dis.dissect(spark.range(1).select(build.dot11_data(mac("01"), mac("02"), mac("03"), F.lit(bytearray())).alias("frame")), ["dot11"], root="dot11").select("dot11.type", "dot11.subtype", "dot11.addr2").first()
+    assert tuple(r) == (2, 8, "02:00:00:00:00:02")
+    frames = spark.range(3).select(F.col("id").alias("packet_index"), F.lit(5).cast("bigint").alias("ts_ns"), over(F.lit(bytearray(b"abc")), 80).alias("frame"))
+    p, seen = flow.observed(flow.packets(frames))
+    p.write.format("noop").mode("overwrite").save()
+    assert seen.get["packets"] == 3 and seen.get["bytes"] == 3 * 57

@@ -135,6 +135,41 @@ def tls_record(kind: Value, fragment: Column, version: Value = 0x0303) -> Column
     return F.concat(put(col(kind), 1), put(col(version), 2), put(F.length(fragment), 2), fragment)
 
 
+def text_line(*words: Value) -> Column:
+    """A line of FTP, SMTP, POP3 or IMAP: words with spaces between, CR and LF."""
+    return F.concat(F.concat_ws(" ", *(col(w).cast("string") for w in words)), F.lit("\r\n")).cast("binary")
+
+
+def text_reply(code: Value, words: Value, more: bool = False) -> Column:
+    """A reply line of FTP or SMTP; more: others follow."""
+    return F.concat(col(code).cast("string"), F.lit("-" if more else " "), col(words), F.lit("\r\n")).cast("binary")
+
+
+def ssh_banner(software: Value) -> Column:
+    return F.concat(F.lit("SSH-2.0-"), col(software), F.lit("\r\n")).cast("binary")
+
+
+def dhcp(op: Value, xid: Value, hardware: Column, options: dict[int, Column], yiaddr: Value = 0, flags: Value = 0) -> Column:
+    """hardware: 6 bytes; options: bytes by number, the end option follows."""
+    head = F.concat(put(col(op), 1), put(0x010600, 3), put(col(xid), 4), put(0, 2), put(col(flags), 2), put(0, 4), put(col(yiaddr), 4), put(0, 4), put(0, 4), hardware, F.lit(bytearray(10 + 192)), put(0x63825363, 4))
+    return F.concat(head, *(F.concat(put(n, 1), put(F.length(v), 1), v) for n, v in options.items()), put(255, 1))
+
+
+def http2_frame(kind: Value, flags: Value, stream: Value, payload: Column) -> Column:
+    return F.concat(put(F.length(payload), 3), put(col(kind), 1), put(col(flags), 1), put(col(stream), 4), payload)
+
+
+def dot11_data(to: Column, source: Column, bssid: Column, payload: Column, qos: bool = True, seq: Value = 0) -> Column:
+    """A data frame between stations; addresses of 6 bytes."""
+    return F.concat(put(0x8800 if qos else 0x0800, 2), put(0, 2), to, source, bssid, put_le(F.shiftleft(col(seq).cast("bigint"), 4), 2), *([put(0, 2)] if qos else []), payload)
+
+
+def dot15d4_data(pan: Value, dst: Value, src: Value, payload: Column, seq: Value = 0, with_fcs: bool = False) -> Column:
+    """A data frame of short addresses in one network."""
+    frame = F.concat(put_le(F.lit(0x8841), 2), put(col(seq), 1), put_le(col(pan), 2), put_le(col(dst), 2), put_le(col(src), 2), payload)
+    return F.concat(frame, put_le(ck.ccitt_kermit(frame), 2)) if with_fcs else frame
+
+
 def modbus(trans: Value, unit: Value, func: Value, data: Column) -> Column:
     return F.concat(put(col(trans), 2), put(0, 2), put(F.length(data) + 2, 2), put(col(unit), 1), put(col(func), 1), data)
 

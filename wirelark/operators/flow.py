@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wirelark.functions.bytesx import ip_text, take
@@ -251,6 +251,13 @@ def packets_with_flows(p: DataFrame, flows: DataFrame) -> DataFrame:
     return flows.select("src_addr", "dst_addr", "src_port", "dst_port", "protocol", F.explode("packet_indices").alias("packet_index")).join(p, "packet_index")
 
 
+def observed(p: DataFrame, name: str = "packets") -> tuple[DataFrame, Observation]:
+    """packets() with running totals of what an action reads of them: packets, bytes, span_ns, unkeyed; ``.get`` waits for the action."""
+    seen = Observation(name)
+    totals = [F.count("*").alias("packets"), F.sum("len").alias("bytes"), (F.max("ts_ns") - F.min("ts_ns")).alias("span_ns"), F.count_if(F.col("addr_a").isNull()).alias("unkeyed")]
+    return p.observe(seen, *totals), seen
+
+
 def summary_text() -> Column:
     """One line for a conversation."""
     return F.format_string("%s:%d <-> %s:%d %s %s packets=%d bytes=%d", "src_addr", "src_port", "dst_addr", "dst_port", "protocol", "status", "total_packets", "total_bytes")

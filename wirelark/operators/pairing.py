@@ -53,6 +53,7 @@ def rules(protocol: str) -> tuple[list[tuple[str, str]], Column | None]:
     swap = [("src", "dst"), ("dst", "src")]
     ports = [("sport", "dport"), ("dport", "sport")]
     table = {
+        "dot11_auth": ([("addr1", "addr2"), ("addr2", "addr1"), ("algorithm", "algorithm")], rep("seqnum") == req("seqnum") + 1),
         "ethernet": ([("type", "type")], None),
         "arp": ([("hwtype", "hwtype"), ("ptype", "ptype"), ("pdst", "psrc")], arp_answers()),
         "ipv4": ([*swap, ("proto", "proto")], None),
@@ -62,6 +63,9 @@ def rules(protocol: str) -> tuple[list[tuple[str, str]], Column | None]:
         "icmp": ([*swap, ("id", "id"), ("seq", "seq")], icmp_answers()),
         "icmpv6": ([*swap, ("id", "id"), ("seq", "seq")], (req("type") == 128) & (rep("type") == 129)),
         "dns": ([*swap, *ports, ("dns_id", "dns_id")], None),
+        # their packets say nothing more about what answers what
+        **{p: ([*swap, *ports], None) for p in ("ftp", "smtp", "pop3", "imap", "tftp", "dnp3")},
+        "dot3": (swap, None),
         "dot15d4": ([("seqnum", "seqnum")], req("ackreq") & (rep("frametype") == 2)),
         "dot11": ([("addr1", "addr2"), ("addr2", "addr1")], req("subtype").isin(0, 2, 4) & (rep("subtype") == req("subtype") + 1) | (req("subtype") == 11) & (rep("subtype") == 11)),
         "zwave": ([("home_id", "home_id"), ("src", "dst"), ("dst", "src")], None),
@@ -143,6 +147,37 @@ def routes(packets: DataFrame, networks: DataFrame, longest: bool = False) -> Da
     return packets.join(chosen, "dst_ip", "left").select(*packets.columns, "route.net", "route.prefix", "route.route_order")
 
 
+def interface_routes(packets: DataFrame, interfaces: DataFrame, gateway: int | None = None) -> DataFrame:
+    """packets (dst_ip) with interface, next_hop and is_local, as a host chooses its way out.
+
+    interfaces: name, net, prefix, route_order, up, loopback. Loopback destinations go to the loopback; broadcast
+    and multicast ones out of the default interface, the first that is up, without a gateway; others out of
+    the first one up whose network holds them, else through the gateway out of the default interface. All
+    are null where there is no way. Interfaces are few: those of one host.
+    """
+    usable = interfaces.where("up AND NOT loopback")
+    found = routes(packets, usable.select("net", "prefix", "route_order"))
+    names = F.broadcast(usable.select("route_order", F.col("name").alias("_name")))
+    default = F.broadcast(interfaces.agg(F.min_by(F.when(F.col("up") & ~F.col("loopback"), F.col("name")), F.when(F.col("up") & ~F.col("loopback"), F.col("route_order"))).alias("_default"), F.min_by(F.when(F.col("loopback"), F.col("name")), F.when(F.col("loopback"), F.col("route_order"))).alias("_lo")))
+    dst, none = F.col("dst_ip"), F.lit(None)
+    back, cast = F.shiftright(dst, 24) == 127, (dst == 0xFFFFFFFF) | (F.shiftright(dst, 28) == 14)
+    held, away = F.col("_name").isNotNull(), F.lit(gateway is not None) & F.col("_default").isNotNull()
+    name = F.when(back, F.col("_lo")).when(cast, F.col("_default")).when(held, F.col("_name")).when(away, F.col("_default"))
+    local = back | cast | held
+    hop = F.when(local, dst).when(away, F.lit(gateway).cast("bigint"))
+    out = found.join(names, "route_order", "left").join(default)
+    return out.select(*packets.columns, name.alias("interface"), F.when(name.isNotNull(), hop).alias("next_hop"), F.when(name.isNotNull(), local).otherwise(none).alias("is_local"))
+
+
+def destination_macs(routed: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """interface_routes() rows with mac: of broadcast and multicast by their rule, of others what neighbours (ip, mac), one row an address, knows of the next hop."""
+    dst = F.col("dst_ip")
+    group = F.concat(F.lit("01:00:5e:"), F.lower(F.concat_ws(":", *(F.lpad(F.hex(F.shiftright(dst, s).bitwiseAND(m)), 2, "0") for s, m in ((16, 127), (8, 255), (0, 255))))))
+    known = neighbours.select(F.col("ip").alias("next_hop"), F.col("mac").alias("_mac"))
+    mac = F.when(dst == 0xFFFFFFFF, "ff:ff:ff:ff:ff:ff").when(F.shiftright(dst, 28) == 14, group).otherwise(F.col("_mac"))
+    return routed.join(known, "next_hop", "left").select(*routed.columns, mac.alias("mac"))
+
+
 def dhcp_leases(messages: DataFrame) -> DataFrame:
     """Lease intervals from DHCP packets (client, ip, ts_ns, lease_time, msg_type): each ACK holds until it runs out, is renewed or released."""
     w = Window.partitionBy("client").orderBy("ts_ns")

@@ -38,9 +38,9 @@ def payload() -> Column:
 @query(QUERIES, f"SELECT event_id, 1 AS op, event_id % 4294967296 AS xid, {EVENT_MAC} AS chaddr, 1 + event_id % 8 AS msg_type, {quad('167772160 + user_id')} AS requested_ip, 3600 + event_id % 100 AS lease_time FROM events")
 def dhcp_fields(spark, sf):
     e, u = event_ids()
-    options = F.concat(B.raw("3501"), B.put(1 + e % 8, 1), B.raw("3204"), B.put(u + 167772160, 4), B.raw("3304"), B.put(3600 + e % 100, 4), B.raw("FF"))
-    head = F.concat(B.raw("01010600"), B.put(e % 4294967296, 4), B.raw("00" * 20), B.raw("02000000"), B.put(u, 2), B.raw("00" * 10), B.raw("00" * 192), B.raw("63825363"))
-    d = dis.dissect(over_udp(derived.events(spark, sf), F.concat(head, options), 68, 67, "event_id"), ["dhcp"])
+    options = {53: B.put(1 + e % 8, 1), 50: B.put(u + 167772160, 4), 51: B.put(3600 + e % 100, 4)}
+    body = build.dhcp(1, e % 4294967296, F.concat(B.raw("02000000"), B.put(u, 2)), options)
+    d = dis.dissect(over_udp(derived.events(spark, sf), body, 68, 67, "event_id"), ["dhcp"])
     return d.select("event_id", "dhcp.op", "dhcp.xid", "dhcp.chaddr", "dhcp.msg_type", "dhcp.requested_ip", "dhcp.lease_time")
 
 
@@ -80,7 +80,7 @@ def quic_frame_list(spark, sf):
 @query(QUERIES, "SELECT event_id, 'SSH' AS app, 'SSH-2.0-client_' || user_id AS banner FROM events")
 def ssh_banners(spark, sf):
     _, u = event_ids()
-    line = F.concat(F.lit("SSH-2.0-client_"), u, F.lit("\r\n")).cast("binary")
+    line = build.ssh_banner(F.concat(F.lit("client_"), u))
     d = dis.dissect(over_tcp(derived.events(spark, sf), line, 40000, 22, "event_id"), ["ssh"])
     return d.select("event_id", "app", F.col("ssh.version_string").alias("banner"))
 
@@ -217,3 +217,22 @@ def anon_mac_hash(spark, sf):
     mac = F.concat(B.raw("02000000"), B.put(u, 2))
     h = anon.mac_hash(mac, b"salt", keep_oui=True)
     return derived.events(spark, sf).select("event_id", B.hexstr(B.take(h, 0, 3), ":").alias("oui"), B.hexstr(B.take(h, 3, 3)).alias("low"))
+
+
+ROUTE = """SELECT packet_index, CASE WHEN d >> 24 = 127 THEN 'lo' WHEN d = 4294967295 OR d >> 28 = 14 THEN 'eth0' WHEN d >> 16 = 2561 THEN 'eth1' WHEN d >> 8 = 655360 THEN 'eth0' ELSE 'eth0' END AS interface,
+  CASE WHEN d >> 24 = 127 OR d = 4294967295 OR d >> 28 = 14 OR d >> 16 = 2561 OR d >> 8 = 655360 THEN d ELSE 167772161 END AS next_hop, d >> 24 = 127 OR d = 4294967295 OR d >> 28 = 14 OR d >> 16 = 2561 OR d >> 8 = 655360 AS is_local
+  FROM (SELECT packet_index, CASE event_id % 5 WHEN 0 THEN 2130706433 WHEN 1 THEN 4294967295 WHEN 2 THEN 3758096384 + user_id ELSE dst_ip END AS d FROM p)"""
+
+
+@query(QUERIES, packets_sql(f"SELECT packet_index, interface, next_hop, is_local, CASE WHEN next_hop = 4294967295 THEN 'ff:ff:ff:ff:ff:ff' WHEN next_hop = 167772161 THEN '02:00:00:00:00:01' END AS mac FROM ({ROUTE}) WHERE next_hop >> 28 <> 14 UNION ALL SELECT packet_index, interface, next_hop, is_local, '01:00:5e:' || concat_ws(':', lpad(lower(hex((next_hop >> 16) & 127)), 2, '0'), lpad(lower(hex((next_hop >> 8) & 255)), 2, '0'), lpad(lower(hex(next_hop & 255)), 2, '0')) FROM ({ROUTE}) WHERE next_hop >> 28 = 14"))
+def interface_selection(spark, sf):
+    """The way out of a host for loopback, broadcast, multicast, local and remote destinations, and the MAC to send to."""
+    from wirelark.operators import pairing
+
+    known = [("lo", 2130706432, 8, 0, True, True), ("eth9", 167837696, 16, 1, False, False), ("eth0", 167772160, 24, 2, True, False), ("eth1", 167837696, 16, 3, True, False)]
+    interfaces = spark.createDataFrame(known, "name string, net bigint, prefix int, route_order int, up boolean, loopback boolean")
+    neighbours = spark.createDataFrame([(167772161, "02:00:00:00:00:01")], "ip bigint, mac string")
+    e, u = event_ids()
+    dst = F.when(e % 5 == 0, 2130706433).when(e % 5 == 1, 4294967295).when(e % 5 == 2, 3758096384 + u).otherwise(F.col("dst_ip"))
+    p = derived.packets(spark, sf).select("packet_index", dst.cast("bigint").alias("dst_ip"))
+    return pairing.destination_macs(pairing.interface_routes(p, interfaces, 167772161), neighbours).select("packet_index", "interface", "next_hop", "is_local", "mac")
