@@ -12,7 +12,8 @@ the strata by Bonferroni. Of the certified steps the one that gains most on labe
 Defined results: a null or empty text has no words and fails the base rule; a null language is a
 stratum of its own. A stratum whose good holdouts are too few for the exact bound (217 where four strata
 share a confidence of 0.95 and the risk is 0.02), or that has no bad ones, rejects nothing by these rules:
-others' cutoffs aren't certified for it. So only the base rule rejects there, as with an empty label table. Repeated rows are judged alike,
+others' cutoffs aren't certified for it. So only the base rule rejects there, as with an empty label table. Labelled
+doc_ids are taken as independent draws: those of equal or alike texts count each. Repeated rows are judged alike,
 each on its own. Columns other than the named ones are ignored.
 """
 
