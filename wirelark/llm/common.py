@@ -15,8 +15,8 @@ from wirelark import shared
 #: A word: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^ \t-\r]+")
 WORD_BYTES = re.compile(rb"[^ \t-\r]+")
-#: Rows that are broadcast at most (keys and a few numbers: some 30 MB), and texts of a batch for a Python worker.
-MOST_BROADCAST, TEXT_BATCH = 200_000, 1024
+#: Rows that are broadcast at most (keys and a few numbers: some 20 MB), and texts of a batch for a Python worker.
+MOST_BROADCAST, TEXT_BATCH = 100_000, 1024
 #: Where an enclosing scratch() has intermediate tables written.
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
