@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -174,6 +175,43 @@ def test_lists_are_selected(spark, kind, n):
     assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("kind,n", [("far queries", 4000), ("unit", 4000)])
+def test_recall_on_other_rows(spark, kind, n):
+    """Queries unlike the rows, and vectors of one length without clusters: recall is calibrated on the queries themselves."""
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(n, 64))
+    if kind == "unit":
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    else:
+        v[np.arange(n) % 20 > 0] = v[np.arange(n) % 20 > 0] * 0.1 + 3 * np.eye(64)[0]
+    v = v.astype(np.float32)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(e, e.where("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = v.astype(float)
+    want = {q: set(sorted((i for i in range(n) if i != q), key=lambda i, s=x @ x[q]: (-s[i], i))[:20]) for q in range(0, n, 20)}
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_true_neighbours():
+    """Brute force over batches: best score of a repeated vec_id, equal vectors by vec_id, lists of what is found."""
+    rng = np.random.default_rng(1)
+    v, ids = rng.normal(size=(300, 4)), np.r_[np.arange(250), np.arange(50)]
+    v[60:120] = v[60]
+    f = pd.DataFrame({"vec_id": ids, "embedding": list(v), "lists": [np.array([i]) for i in range(300)]})
+    got = ann.true_neighbours(np.array([7, 60]), v[[7, 60]], iter([f[:100], f[100:100], f[100:]]), 5)
+    for at, own in enumerate((7, 60)):
+        s = (v * v[own]).cumsum(axis=1)[:, -1]
+        best = {}
+        for i in sorted(range(300), key=lambda i: -s[i]):
+            best.setdefault(int(ids[i]), i)
+        want = sorted((-s[i], j, i) for j, i in best.items() if j != own)[:5]
+        mine = got[got["at"] == at]
+        assert list(zip(-mine.score, mine.vec_id)) == [w[:2] for w in want]
+        assert all((v[h[0]] == v[w[2]]).all() for h, w in zip(mine.lists, want))
+
+
 def test_nearest_of_doubles(spark):
     """Scores are those of the vectors as they are, in double precision and of any size."""
     rows = [(i, [0.1 * i + 1e-12, 1.0 + 1e-13 * i, 1e39 if i % 2 else 0.3]) for i in range(40)]
